@@ -30,80 +30,64 @@ _PLAIN = re.compile(r"[\x00-ɏ]*")
 
 @lru_cache(2)
 def _load(path: str):
-    """The tokenizer, its whole tokens as text, and its added tokens' strings."""
+    """The tokenizer, its whole tokens as text, its added tokens' strings, and the merging of one pre-token by ranks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import tiktoken
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     own = [chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if chr(b) not in own]
     to_byte = {c: ord(c) for c in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+    added = [t.content for t in tok.get_added_tokens_decoder().values() if t.content]
+    ranks = {bytes(to_byte[c] for c in piece): i for piece, i in tok.get_vocab(with_added_tokens=False).items() if piece not in added}
     strings = []
-    added = [t.content for t in tok.get_added_tokens_decoder().values()]
-    for piece in tok.get_vocab(with_added_tokens=False):
+    for raw in ranks:
         try:
-            strings.append(bytes(to_byte[c] for c in piece).decode())
-        except (KeyError, UnicodeDecodeError):
+            strings.append(raw.decode())
+        except UnicodeDecodeError:
             continue
     proof = tok.encode_batch(strings, add_special_tokens=False)
-    return tok, {s for s, e in zip(strings, proof, strict=True) if len(e.ids) == 1}, [a for a in added if a]
+    merge = tiktoken.Encoding("ranks", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return tok, {s for s, e in zip(strings, proof, strict=True) if len(e.ids) == 1}, added, merge
 
 
 class Counter:
     def __init__(self, path: str):
         import regex
 
-        self.tok, self.whole, self.added = _load(path)
+        self.tok, self.whole, self.added, self.merge = _load(path)
         self.cut = regex.compile(PRETOKEN).findall
         self.memo: dict[str, int] = {}
 
-    def merged(self, strings: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)] if strings else []
-
-    def learn(self, pieces: set[str]) -> dict[str, int]:
-        """Token counts of pieces not yet known."""
-        found, hard, plain = {}, [], []
-        for p in pieces:
-            if p in self.whole:
-                found[p] = 1
-            elif _PLAIN.fullmatch(p):
-                plain.append((p, self.cut(p)))
-            else:
-                hard.append(p)
-        rest = {t for _, pre in plain for t in pre} - self.whole
-        rest = list(rest)
-        cost = dict(zip(rest, self.merged(rest), strict=True))
-        for p, pre in plain:
-            found[p] = sum(cost.get(t, 1) for t in pre)
-        found.update(zip(hard, self.merged(hard), strict=True))
-        return found
+    def library(self, text: str) -> int:
+        return len(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, text: str) -> int:
+        """Tokens of one piece: pre-tokens that are whole tokens count one, the rest are merged."""
+        if text in self.whole:
+            return 1
+        if not _PLAIN.fullmatch(text):
+            return self.library(text)
+        return sum(1 if t in self.whole else len(self.merge(t.encode())) for t in self.cut(text))
+
+    def count(self, text: str) -> int:
+        if any(a in text for a in self.added) or _UNSAFE.search(text):
+            return self.library(text)
+        memo, (head, *tail) = self.memo, text.split(" ")
+        n = self.piece(head) if head else 0
+        known = list(map(memo.get, tail))
+        if None in known:
+            room = len(memo) < MEMO
+            for k, c in enumerate(known):
+                if c is None:
+                    known[k] = c = self.piece(" " + tail[k])
+                    if room and len(tail[k]) < 64:
+                        memo[tail[k]] = c
+        return n + sum(known)
 
     def counts(self, texts: list[str]) -> list[int]:
-        out: list[int | None] = []
-        split: list[list[str]] = []
-        heads: list[str] = []
-        memo = self.memo
-        for t in texts:
-            if any(a in t for a in self.added) or _UNSAFE.search(t):
-                out.append(len(self.tok.encode(t, add_special_tokens=False).ids))
-                split.append([])
-                heads.append("")
-                continue
-            head, *tail = t.split(" ")
-            heads.append(head)
-            out.append(0)
-            split.append(tail)
-        new = {p for pieces in split for p in pieces if p not in memo}
-        extra = {k[1:]: v for k, v in self.learn({" " + p for p in new}).items()}
-        if len(memo) < MEMO:
-            memo.update(extra)
-            extra = {}
-        first = self.learn(set(heads))
-        for k, (head, pieces) in enumerate(zip(heads, split, strict=True)):
-            out[k] += first[head] if head else 0
-            if pieces:
-                out[k] += sum(map(memo.__getitem__, pieces)) if not extra else sum(memo[p] if p in memo else extra[p] for p in pieces)
-        return out
+        return list(map(self.count, texts))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
