@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tipoff.llm.common import read, tokenizer_path
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.packing import packed_documents
+
+    return packed_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm.token_counts import token_counts
 
@@ -16,7 +22,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_counts": op10_token_counts}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
