@@ -15,6 +15,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.html_text import page_text
+
+    return page_text(read(spark, sf_dir, "pages"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.media import text_media
+
+    return text_media(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm.token_counts import token_counts
 
@@ -22,7 +34,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op10_token_counts": op10_token_counts}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_html_extraction": op4_html_extraction, "op5_media_columns": op5_media_columns, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
