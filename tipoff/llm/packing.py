@@ -36,8 +36,8 @@ POOR = 0.97
 MEMO = 500_000
 #: Characters that str.split() takes for white space and the vocabulary does not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
-#: Latin letters that lower-case to letters.
-_LETTERS = re.compile("[A-Za-zªºÀ-ÖØ-öø-įĲ-ɏ]+")
+#: Words of Latin letters that lower-case to one letter each, closed by an ASCII letter.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]*[A-Za-z]")
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -45,30 +45,63 @@ _LETTERS = re.compile("[A-Za-zªºÀ-ÖØ-öø-įĲ-ɏ]+")
 
 @lru_cache(2)
 def _tokenizer(path: str):
+    """The tokenizer; whether an added token holds a space; and for plain words a rank coder with its end-of-word ids.
+
+    In the coder a word's last letter is written as a capital, which stands for the letter with its end-of-word mark; lower-cased
+    text has no other capitals. Words that the coder and the tokenizer might see differently are left to the tokenizer."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import tiktoken
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     spaced = any(" " in t.content for t in tok.get_added_tokens_decoder().values())
-    return tok, spaced
+    own = [chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    to_byte = {c: ord(c) for c in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in own)}
+    ranks: dict[bytes, int] = {}
+    for piece, i in tok.get_vocab(with_added_tokens=False).items():
+        body = piece.removesuffix("</w>")
+        if not body or any(c not in to_byte for c in body):
+            continue
+        raw = bytes(to_byte[c] for c in body)
+        if any(65 <= b <= 90 for b in raw):
+            continue
+        if body == piece:
+            ranks[raw] = i
+        elif 97 <= raw[-1] <= 122:
+            ranks[raw[:-1] + bytes([raw[-1] - 32])] = i
+    free = max(ranks.values(), default=0) + 1
+    for b in range(256):
+        ranks.setdefault(bytes([b]), free + b)
+    coder = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+    ends = np.zeros(free + 256, bool)
+    whole = {}
+    for raw, i in ranks.items():
+        if 65 <= raw[-1] <= 90 and i < free:
+            ends[i] = True
+            if (word := raw.lower().decode("utf-8", "ignore")).encode() == raw.lower():
+                whole[word] = i
+    alone = tok.encode_batch(list(whole), add_special_tokens=False)
+    unsure = {w for (w, i), e in zip(whole.items(), alone, strict=True) if e.ids != [i]}
+    return tok, spaced, coder, ends, unsure
 
 
 class Ids:
     """Little-endian ids of texts. White space separates tokens of this vocabulary, so a segment between spaces is encoded once."""
 
     def __init__(self, path: str):
-        self.tok, self.spaced = _tokenizer(path)
+        self.tok, self.spaced, self.coder, self.ends, self.unsure = _tokenizer(path)
         self.memo: dict[str, bytes] = {}
 
     def encoded(self, segments: list[str]) -> dict[str, bytes]:
-        """Ids of each segment. Words of plain letters are one pre-token each, so many are encoded as one text and told apart by word number."""
-        words = [s for s in segments if s.isalpha() and _LETTERS.fullmatch(s)]
+        """Ids of each segment: plain words together by the rank coder, told apart by their end-of-word ids, others by the tokenizer."""
+        words = [s for s in segments if _WORD.fullmatch(s) and s.lower() not in self.unsure]
         other = list(set(segments).difference(words))
         found = {s: np.asarray(e.ids, "<u4").tobytes() for s, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True)} if other else {}
-        lists = [words[k : k + 256] for k in range(0, len(words), 256)]
-        for some, e in zip(lists, self.tok.encode_batch(list(map(" ".join, lists)), add_special_tokens=False) if lists else [], strict=True):
-            raw, ends = np.asarray(e.ids, "<u4").tobytes(), (4 * np.searchsorted(e.word_ids, np.arange(len(some)), "right")).tolist()
-            found.update((w, raw[i:j]) for w, i, j in zip(some, [0, *ends], ends, strict=False))
+        if words:
+            ids = np.asarray(self.coder(" ".join([s[:-1].lower() + s[-1].upper() for s in words])), "<u4")
+            at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            found.update((w, raw[i:j]) for w, i, j in zip(words, [0, *at[:-1]], at, strict=True))
         return found
 
     def learn(self, segments: set[str]) -> dict[str, bytes]:
