@@ -27,6 +27,12 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm.token_counts import token_counts
 
@@ -34,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_html_extraction": op4_html_extraction, "op5_media_columns": op5_media_columns, "op10_token_counts": op10_token_counts}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_html_extraction": op4_html_extraction, "op5_media_columns": op5_media_columns, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
