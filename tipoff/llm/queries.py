@@ -15,6 +15,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm import quality
+
+    docs = read(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm.html_text import page_text
 
@@ -40,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_html_extraction": op4_html_extraction, "op5_media_columns": op5_media_columns, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_token_counts": op10_token_counts}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_classifier": op3_quality_classifier, "op4_html_extraction": op4_html_extraction, "op5_media_columns": op5_media_columns, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
