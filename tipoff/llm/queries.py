@@ -34,6 +34,13 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, *toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm.near_dedup import near_duplicates
 
@@ -47,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_classifier": op3_quality_classifier, "op4_html_extraction": op4_html_extraction, "op5_media_columns": op5_media_columns, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_token_counts": op10_token_counts}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_classifier": op3_quality_classifier, "op4_html_extraction": op4_html_extraction, "op5_media_columns": op5_media_columns, "op6_toxicity": op6_toxicity, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
