@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     member = written(coarse.join(classes.select(F.col("rep").alias("id"), "n"), "id"), "near-members")
     size = member.groupBy("coarse").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     member = member.join(size, "coarse").select("id", "coarse", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "blocks")
-    sets = _with_sets(member.join(texts, "id").select("id", "coarse", "block", "blocks", "text"), width)
+    # a merge join whatever the size: the member side grows with the corpus and must not be broadcast
+    sets = _with_sets(member.hint("merge").join(texts, "id").select("id", "coarse", "block", "blocks", "text"), width)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("*", other).select("coarse", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "shingles")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
