@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tipoff.llm.common import read, tokenizer_path
 
@@ -15,6 +16,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.chunk_dedup import deduplicated
+
+    done = deduplicated(read(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm import quality
 
@@ -41,6 +49,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, *toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.decontaminate import contamination
+
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm.near_dedup import near_duplicates
 
@@ -54,8 +68,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_classifier": op3_quality_classifier, "op4_html_extraction": op4_html_extraction, "op5_media_columns": op5_media_columns, "op6_toxicity": op6_toxicity, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_token_counts": op10_token_counts}
+    import corpus_pipeline
+
+    each = (op1_best_fit_packing, op2_substring_dedup, op3_quality_classifier, op4_html_extraction, op5_media_columns, op6_toxicity, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_token_counts)
+    return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of the ten has an exact SQL form that is cheap on whole tables; tests/llm holds their brute-force versions."""
     return {}
