@@ -49,6 +49,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, *toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.repeats import without_repeats
+
+    return without_repeats(read(spark, sf_dir, "documents"), width=400).drop("kept")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm.decontaminate import contamination
 
@@ -70,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    each = (op1_best_fit_packing, op2_substring_dedup, op3_quality_classifier, op4_html_extraction, op5_media_columns, op6_toxicity, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_token_counts)
+    each = (op1_best_fit_packing, op2_substring_dedup, op3_quality_classifier, op4_html_extraction, op5_media_columns, op6_toxicity, op7_suffix_array_dedup, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_token_counts)
     return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
 
 
