@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back, so that nothing above it runs twice or after a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -52,7 +52,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff.llm.repeats import without_repeats
 
-    return without_repeats(read(spark, sf_dir, "documents"), width=400).drop("kept")
+    return without_repeats(read(spark, sf_dir, "documents"), width=400, keep_text=False)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

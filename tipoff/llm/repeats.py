@@ -232,7 +232,7 @@ def _compared(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _left(rows: DataFrame) -> DataFrame:
-    """(row, text, spans) -> row, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+    """(name, text, spans) -> name, n_bytes, n_removed, n_spans, kept_sha256, kept."""
 
     def make():
         def step(batch):
@@ -251,24 +251,22 @@ def _left(rows: DataFrame) -> DataFrame:
                 kept = b"".join([*parts, raw[last:]])
                 out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["name", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
         return step
 
-    return map_batches(rows, make, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_batches(rows, make, "name binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay). Equal texts get equal values."""
+def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, keep_text: bool = True) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the bytes that stay). Equal texts get equal values."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("name", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    # the representative of a class: any one row of it, told by its id; rows of one id with other texts differ in name
-    classes = written(texts.groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first(F.octet_length("text")).alias("n_bytes")), "repeat-classes")
-    spread = classes.select("name", F.xxhash64("name").alias("no"), "id", "copies", "n_bytes")
-    long_enough = spread.filter(F.col("n_bytes") >= width).select(F.col("name").alias("_name"), F.col("id").alias("_id"), "no")
-    own = written(texts.hint("merge").join(long_enough, (F.col("name") == F.col("_name")) & F.col("id").eqNullSafe(F.col("_id"))).select("no", "name", "text").dropDuplicates(["name"]).select(F.col("no").alias("id"), "text"), "repeat-texts")
-    anchors = written(_anchors(own, width), "repeat-anchors")
+    classes = texts.groupBy("name").agg(F.count("*").alias("copies"), F.first("text").alias("text"))  # copies meet before the shuffle
+    own = written(classes.select(F.xxhash64("name").alias("id"), "name", "copies", "text"), "repeat-texts")
+    long_enough = own.filter(F.octet_length("text") >= width)
+    anchors = written(_anchors(long_enough.select("id", "text"), width), "repeat-anchors")
     kinds = anchors.groupBy("key", "a", "b").agg(F.min(F.struct("id", "start", "end", "left")).alias("one"), F.count("*").alias("n"))
     kinds = written(kinds, "repeat-kinds")
     size = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
@@ -276,15 +274,15 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     whole = anchors.hint("merge").join(twice, ["key", "a", "b"], "left_semi").select("id", "start", "end")
     places = kinds.hint("merge").join(size, "key").select(F.col("one.id").alias("id"), F.struct("key", F.col("one.start").alias("start"), F.col("one.end").alias("end"), F.col("one.left").alias("left"), "kinds").alias("place"))
     wanted = places.groupBy("id").agg(F.collect_list("place").alias("places"))
-    cut = written(_cut(own.hint("merge").join(wanted, "id").select("id", "text", "places")), "repeat-segments")
+    cut = written(_cut(long_enough.hint("merge").join(wanted, "id").select("id", "text", "places")), "repeat-segments")
     few = cut.filter(F.col("kinds") <= group).select("key", "id", "start", "left", "data")
     found = _compared(few.repartition(n, "key").sortWithinPartitions("key", "id", "start"), width)
     windows = written(_windows(cut.filter(F.col("kinds") > group), width), "repeat-windows")
     common = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
     hot = windows.hint("merge").join(common, ["a", "b"], "left_semi").select("id", "start", (F.col("start") + width).alias("end"))
-    copies = spread.filter((F.col("copies") > 1) & (F.col("n_bytes") >= width)).select(F.col("no").alias("id"), F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end"))
+    copies = long_enough.filter(F.col("copies") > 1).select("id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"))
     spans = whole.unionByName(found).unionByName(hot).unionByName(copies)
     gathered = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    named = spread.join(gathered.withColumnRenamed("id", "no"), "no").select("name", "spans")
-    out = texts.hint("merge").join(named, "name", "left").select("id", "text", "spans")
-    return _left(out).withColumnRenamed("id", id_col)
+    done = _left(own.hint("merge").join(gathered, "id", "left").select("name", "text", "spans"))
+    done = done if keep_text else done.drop("kept")
+    return texts.select("id", "name").hint("merge").join(done, "name").drop("name").withColumnRenamed("id", id_col)
