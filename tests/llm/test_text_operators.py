@@ -89,3 +89,15 @@ def test_near_duplicates_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
     assert got == {i: (len(sets[i]), label[i]) for i in range(len(texts))}
+
+
+def test_label_sample_is_the_least_hashes(spark):
+    """Few labelled pages among many: the slice widens until it holds them; null ids, null html and an empty table are fine."""
+    from tipoff.llm import html_text
+
+    plain = [(i, "u", "<div>a b c</div>") for i in range(60)]
+    pages = spark.createDataFrame([*plain, (None, "u", None), (None, "u", ""), (99, "u", "<nav>x</nav><article><p>one two three</p></article>")], "page_id long, url string, html string")
+    assert html_text.learned_weights(pages, labelled=2) == html_text.learned_weights(pages, labelled=50)
+    got = {(r["page_id"], r["text"]) for r in html_text.page_text(pages).collect()}
+    assert (99, "one two three") in got and (None, "") in got
+    assert html_text.page_text(pages.limit(0)).count() == 0
