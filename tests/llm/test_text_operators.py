@@ -101,3 +101,22 @@ def test_label_sample_is_the_least_hashes(spark):
     got = {(r["page_id"], r["text"]) for r in html_text.page_text(pages).collect()}
     assert (99, "one two three") in got and (None, "") in got
     assert html_text.page_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("gap", [" ", ""])
+def test_short_repeats_go_whole(spark, gap):
+    """Passages of 51 words, and as long ones without spaces: all but the first copy of each goes, and only that."""
+    rng = random.Random(7)
+    shared = [words(rng, 51).replace(" ", gap) for _ in range(60)]
+    own = [[words(rng, 30).replace(" ", gap) for _ in range(2)] for _ in range(120)]
+    rows = [(i, f"{own[i][0]} {shared[i % 60]} {own[i][1]}") for i in range(120)] + [(200, shared[0])]
+    out = {r.row.doc_id: r.text for r in chunk_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == rows[i][1] for i in range(60))
+    assert [i for i in range(60, 120) if len(out[i]) > len(" ".join(own[i])) + 1] == []
+    assert [i for i in range(60, 120) if not all(x[:-8] in out[i] for x in own[i][:1]) or own[i][1][8:] not in out[i]] == []
+    assert len(out[200]) == 0
+
+
+def test_cuts_of_periodic_text_are_few():
+    for raw in (b"a" * 10_000, b"ab " * 4000, "日".encode() * 3000):
+        assert len(chunk_dedup.cuts(raw)) <= len(raw) // 20

@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last 32 bytes decides where a text is cut: before a word, where the hash's high bits are zero, at least
-LEAST bytes after the last cut and at most MOST. A cut depends on the bytes near it only, so an insertion moves the cuts around it and
-no others. Each chunk is named by a 128-bit digest. Of a chunk that occurs more than once, the occurrence in the lowest id (the earliest
-there) stays; others go where they form a run of at least `least_run` bytes, so that a stray short chunk never costs a text its words.
+A gear rolling hash over the last SYNC bytes decides where a text is cut: at the place of least hash of each window of WINDOW bytes, at a
+word's start where the window has one and else at any character. A cut depends on the bytes near it only, so an insertion moves the cuts
+around it and no others, and any two equal stretches of over SYNC + 2 * WINDOW bytes, spaced or not, have a chunk in common. Each chunk is
+named by a 128-bit digest of itself and the SYNC bytes before it. Of a chunk that occurs more than once, the occurrence in the lowest id
+(the earliest there) stays; runs of the others are extended byte by byte, on both sides, as far as they agree with the text around that
+occurrence (CONTEXT bytes hold all of it), and go where they then have at least `least_run` bytes. No word or character is split.
 
 Null texts count as empty: they have no chunks and come back empty. Repeated rows of one id count as one document's further chunks only
 if their texts differ. Texts of any length are cut whole. Extra columns come back untouched inside `row`.
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 from tipoff.llm.common import map_batches, written
 from tipoff.llm.hashing import byte_values
 
-LEAST, MOST = 16, 256
-#: A word in 2^BITS may end a chunk.
-BITS = 3
+SYNC, WINDOW = 32, 80
+#: Equal bytes beside a chunk in common are fewer than SYNC + WINDOW.
+CONTEXT = 128
 LEAST_RUN = 120
 
 _GEAR = (byte_values() >> np.uint64(32)).astype(np.uint32)
@@ -41,61 +43,95 @@ def gear(data: np.ndarray) -> np.ndarray:
 def cuts(raw: bytes) -> list[int]:
     """Chunk ends of a text, the last at its length; none inside a character."""
     n = len(raw)
-    if not n:
-        return []
+    if n <= WINDOW:
+        return [n] if n else []
     data = np.frombuffer(raw, np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    last_of_gap = space[:-1] & ~space[1:]
-    ends = (np.flatnonzero(last_of_gap & (gear(data)[:-1] >> np.uint32(32 - BITS) == 0)) + 1).tolist()
-    out, at = [], 0
-    for e in [*ends, n]:
-        while e - at > MOST:
-            stop = at + MOST
-            while stop > at + LEAST and raw[stop] & 0xC0 == 0x80:
-                stop -= 1
-            out.append(stop)
-            at = stop
-        if e - at >= LEAST or e == n:
-            if e > at:
+    # places 1 to n - 1; word starts before other characters before places inside characters
+    rank = gear(data)[:-1] >> np.uint32(2)
+    rank[~(space[:-1] & ~space[1:])] |= np.uint32(1 << 30)
+    rank[data[1:] & 0xC0 == 0x80] = np.uint32(0xFFFFFFFF)
+    least = (rank.astype(np.uint64) << np.uint64(32)) | np.arange(1, n, dtype=np.uint64)
+    width = 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        if len(least) <= step:
+            break
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    ends = np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if (rank[ends[1:] - 1] == rank[ends[:-1] - 1]).any():  # periodic text: equal ranks side by side
+        out = [int(ends[0])]
+        for e in ends[1:].tolist():
+            if rank[e - 1] != rank[out[-1] - 1] or e - out[-1] >= WINDOW:
                 out.append(e)
-            at = e
-    return out
+        return [*out, n]
+    return [*ends.tolist(), n]
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """(id, text) -> id, at (byte where the chunk starts), a and b (its digest)."""
+    """(id, text) -> id, at (byte where the chunk starts), n (its bytes), a and b (its digest)."""
 
     def make():
         def step(batch):
-            ids, at, names, texts = [], [], [], batch.column(1).to_pylist()
+            ids, at, size, names, texts = [], [], [], [], batch.column(1).to_pylist()
             for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
                 raw, start = (t or "").encode(), 0
                 for end in cuts(raw):
-                    names.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
+                    before = min(start, SYNC)
+                    names.append(hashlib.blake2b(b"%d " % before + raw[start - before : end], digest_size=16).digest())
                     at.append(start)
+                    size.append(end - start)
                     ids.append(i)
                     start = end
             name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1]))], ["id", "at", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(size, pa.int32()), pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1]))], ["id", "at", "n", "a", "b"])
 
         return step
 
-    return map_batches(docs, make, "id long, at long, a long, b long")
+    return map_batches(docs, make, "id long, at long, n int, a long, b long")
 
 
-def kept_text(text: str | None, repeated: list[int] | None, least_run: int = LEAST_RUN) -> tuple[str, int, int]:
-    """(what stays, bytes removed, spans removed); repeated: starts of chunks that stand elsewhere first."""
+def _alike(x: bytes, y: bytes) -> int:
+    """How many first bytes are equal."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    return next(k for k in range(n) if x[k] != y[k])
+
+
+def _joins(raw: bytes, p: int) -> bool:
+    """Whether place p is inside a word or a character of several bytes."""
+    if not 0 < p < len(raw):
+        return False
+    return raw[p] & 0xC0 == 0x80 or (raw[p - 1 : p].isalnum() or raw[p - 1] >= 128) and (raw[p : p + 1].isalnum() or raw[p] >= 128)
+
+
+def extended(raw: bytes, start: int, end: int, before: bytes | None, after: bytes | None) -> tuple[int, int]:
+    """A run's ends after it took in what agrees with the bytes before and after its first occurrence. The added ends split no word; in
+    text without spaces, no character."""
+    a = start - _alike(raw[max(0, start - CONTEXT) : start][::-1], (before or b"")[::-1])
+    b = end + _alike(raw[end : end + CONTEXT], after or b"")
+    left = next((p for p in range(a, start) if not _joins(raw, p) and not raw[p : p + 1].isspace()), start)
+    right = next((p for p in range(b, end, -1) if not _joins(raw, p)), end)
+    if left == start and _joins(raw, start):
+        left = next(p for p in range(a, start + 1) if raw[p] & 0xC0 != 0x80)
+    if right == end and _joins(raw, end):
+        right = next(p for p in range(b, end - 1, -1) if p == len(raw) or raw[p] & 0xC0 != 0x80)
+    return left, right
+
+
+def kept_text(text: str | None, repeated: list[dict] | None, least_run: int = LEAST_RUN) -> tuple[str, int, int]:
+    """(what stays, bytes removed, spans removed); repeated: runs of chunks that stand elsewhere first, with the bytes around that place."""
     raw = (text or "").encode()
     if not repeated:
         return text or "", 0, 0
-    starts, runs, at = set(repeated), [], 0
-    for end in cuts(raw):
-        if at in starts:
-            if runs and runs[-1][1] == at:
-                runs[-1][1] = end
-            else:
-                runs.append([at, end])
-        at = end
+    edges, runs = {0, *cuts(raw)}, []
+    for a, b in sorted(extended(raw, r["start"], r["end"], r["before"], r["after"]) for r in repeated if r["start"] in edges and r["end"] in edges):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
     runs = [r for r in runs if r[1] - r[0] >= least_run]
     parts, last = [], 0
     for a, b in runs:
@@ -104,14 +140,67 @@ def kept_text(text: str | None, repeated: list[int] | None, least_run: int = LEA
     return b"".join([*parts, raw[last:]]).decode(), sum(b - a for a, b in runs), len(runs)
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts): the chunks of a document that stand elsewhere, or earlier in it, first."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    chunks = written(_chunks(texts), "chunks")
+def _runs(later: DataFrame) -> DataFrame:
+    """(id, chunks (at, n, first_id, first_at)) -> its runs of adjoining chunks, and where their ends stand first."""
+
+    def make():
+        def step(batch):
+            out = []
+            for i, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                runs: list[list] = []
+                for c in sorted(found, key=lambda c: (c["at"], c["n"])):
+                    at, end, place = c["at"], c["at"] + c["n"], (c["first_id"], c["first_at"] + c["n"])
+                    if runs and runs[-1][2] == at:
+                        runs[-1][2], runs[-1][5:] = end, place
+                    else:
+                        runs.append([i, at, end, c["first_id"], c["first_at"], *place])
+                out += runs
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "start", "end", "left_id", "left_at", "right_id", "right_at"])
+
+        return step
+
+    return map_batches(later, make, "id long, start long, end long, left_id long, left_at long, right_id long, right_at long")
+
+
+def _contexts(asked: DataFrame) -> DataFrame:
+    """(id, row, text, places (at, after)) -> id, at, after, context: the CONTEXT bytes after or before each place."""
+
+    def make():
+        def step(batch):
+            ids, at, after, context = [], [], [], []
+            for i, t, places in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if places:
+                    raw = (t or "").encode()
+                    for p in places:
+                        x = p["at"]
+                        ids.append(i)
+                        at.append(x)
+                        after.append(p["after"])
+                        context.append(raw[x : x + CONTEXT] if p["after"] else raw[max(0, x - CONTEXT) : x])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(after, pa.bool_()), pa.array(context, pa.binary())], ["id", "at", "after", "context"])
+
+        return step
+
+    return map_batches(asked, make, "id long, at long, after boolean, context binary")
+
+
+def repeated_runs(rows: DataFrame) -> DataFrame:
+    """(id, row, text) -> id, runs: the runs of chunks that stand elsewhere, or earlier in the document, first, and what is around that place."""
+    chunks = written(_chunks(rows.select("id", "text").filter(F.col("id").isNotNull())), "chunks")
     first = chunks.groupBy("a", "b").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last")).filter(F.col("first") < F.col("last"))
     # a merge join whatever the size: its skewed partitions are split, and the table of repeats grows with the corpus
     later = chunks.hint("merge").join(first.select("a", "b", "first"), ["a", "b"]).filter(F.struct("id", "at") > F.col("first"))
-    return later.groupBy("id").agg(F.collect_set("at").alias("starts"))
+    found = later.select("id", F.struct("at", "n", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at")).alias("chunk"))
+    runs = written(_runs(found.groupBy("id").agg(F.collect_set("chunk").alias("chunks"))), "chunk-runs")
+    sides = (F.struct(F.col("left_id").alias("f"), F.col("left_at").alias("at"), F.lit(False).alias("after")), F.struct(F.col("right_id").alias("f"), F.col("right_at").alias("at"), F.lit(True).alias("after")))
+    wanted = runs.select("id", "start", "end", F.explode(F.array(*sides)).alias("side")).select("id", "start", "end", "side.*")
+    places = wanted.select("f", "at", "after").distinct().groupBy(F.col("f").alias("id")).agg(F.collect_list(F.struct("at", "after")).alias("places"))
+    # the left join of whole rows shares its exchange with deduplicated(), so texts are dealt out once
+    context = _contexts(rows.hint("merge").join(places, "id", "left").select("id", "row", "text", "places")).withColumnRenamed("id", "f")
+    known = wanted.hint("merge").join(context, ["f", "at", "after"])
+    whole = known.groupBy("id", "start", "end").agg(F.max(F.when(~F.col("after"), F.col("context"))).alias("before"), F.max(F.when(F.col("after"), F.col("context"))).alias("after"))
+    return whole.groupBy("id").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("runs"))
 
 
 def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,12 +208,12 @@ def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN, id_col: str = "doc
     and n_bytes before. Rows of a null id keep their text."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*others).alias("row"), F.col(text_col).alias("text"))
-    joined = rows.hint("merge").join(repeated_chunks(docs, id_col, text_col), "id", "left").select("row", "text", "starts")
+    joined = rows.hint("merge").join(repeated_runs(rows), "id", "left").select("row", "text", "runs")
 
     def make():
         def step(batch):
-            texts, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = [kept_text(t, s, least_run) for t, s in zip(texts, starts, strict=True)]
+            texts, runs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            out = [kept_text(t, r, least_run) for t, r in zip(texts, runs, strict=True)]
             own = [pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2)), pa.array([len((t or "").encode()) for t in texts], pa.int64())]
             return pa.RecordBatch.from_arrays([batch.column(0), *own], ["row", "text", "n_removed", "n_spans", "n_bytes"])
 
