@@ -2,7 +2,7 @@
 
 1. Each text's set of word shingles gives ROWS * BANDS minima whose bands are hashed; texts with the same set are one class.
 2. Classes that share a band are candidates; their groups are the connected components of band sharing.
-3. Inside a group, the low BITS bits of HASHES minima are packed in bit planes. A pair's similarity is estimated by counting equal
+3. Inside a group, BITS bits of each of HASHES minima are packed in bit planes. A pair's similarity is estimated by counting equal
    bits, corrected for chance collisions; pairs that may reach the threshold are confirmed on their full sets, most similar first,
    and only where they would join two parts. Groups too large for one task are dealt into blocks, and each pair of blocks is a task
    of bounded size, so no pair is left out.
@@ -53,8 +53,10 @@ def band_keys(low: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def planes(low: np.ndarray) -> np.ndarray:
-    """(sets, BITS, HASHES / 64): bit planes of the minima's low bits."""
-    return np.stack([np.packbits(((low >> np.uint32(b)) & 1).astype(np.uint8), axis=1).view(np.uint64) for b in range(BITS)], axis=1)
+    """(sets, BITS, HASHES / 64): bit planes of BITS bits of each minimum, mixed with the number of its hash. The minima's own low bits
+    would be equal for two shingles in all hashes alike, as the multipliers are odd; so chance collisions would not average out."""
+    low = mixed((np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32)) | low)
+    return np.stack([np.packbits(((low >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64) for b in range(BITS)], axis=1)
 
 
 def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
