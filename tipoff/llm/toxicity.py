@@ -183,12 +183,19 @@ def learned_terms(positive: list[tuple[set[str], int]], negative: list[set[str]]
         longer = [t for t in stems if len(t) == len(s) + 1 and t.startswith(s)]
         if len(forms[s]) >= 3 and not any(s.startswith(k) for k in kept) and not any(len(stems[t]) >= 0.9 * len(stems[s]) for t in longer):
             kept.append(s)
-    terms = {w: (edits_for(w), False) for w in words if not any(w.startswith(s) for s in kept)} | {s: (edits_for(s[:-1]), True) for s in kept}
-    # a term whose misspellings are words of other documents is matched as it is written
-    automaton, near = Automaton(terms), Counter()
-    for ws in negative:
-        near.update({t for t, edits in automaton.hits(ws).values() if edits})
-    return {t: (0 if near[t] > FUZZY_SHARE * len(negative) else edits, stem) for t, (edits, stem) in terms.items()}
+    # the forms of a stem stay beside it with their own edits; the stem has those of its shortest form
+    terms = {w: (edits_for(w), False) for w in words.keys() | {w for s in kept for w in forms[s]}}
+    for s in kept:
+        terms[s] = (edits_for(s if s in words else min(forms[s], key=len)), True)
+    # a term whose misspellings are words of other documents is matched as it is written; another term may then be the nearest to them
+    while True:
+        automaton, near = Automaton(terms), Counter()
+        for ws in negative:
+            near.update({t for t, edits in automaton.hits(ws).values() if edits})
+        common = {t for t in near if near[t] > FUZZY_SHARE * len(negative)}
+        if not common:
+            return terms
+        terms |= {t: (0, terms[t][1]) for t in common}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
