@@ -5,7 +5,8 @@ number is <unit>, a capitalised word inside a sentence is <name>, and a run of o
 tokens of the benchmark (an item with fewer: all of it) are joined by hash with those of every document. Windows on one diagonal of a document
 and an item add up; an item is found where they cover RUN tokens in one run, or SHARE of the item, and its slots are consistent: equal
 values of the item are equal in the document, and different ones are different, in every kind of slot. So a question with other
-numbers or names is caught, and a text that only has the same shape is not.
+numbers or names is caught, and a text that only has the same shape is not. A run of RUN tokens, or SHARE of the item and a window at
+least, with the item's own values counts whatever the slots around it hold.
 
 The benchmark is taken in blocks of at most BLOCK tokens, each small enough to send to every task. Null and empty texts and items, and
 items with fewer than LEAST words besides placeholders, match nothing. Documents may have any length; extra columns are ignored.
@@ -136,12 +137,27 @@ class Block:
                     where.append((a, b))
                     a, b = x, y
             size = int(self.first[item + 1] - self.first[item])
-            if longest < RUN and total < SHARE * size or not (same := self.consistent(where, shift, value, kind))[0]:
+            if longest < RUN and total < SHARE * size:
                 continue
+            same = self.consistent(where, shift, value, kind)
+            if not same[0]:
+                # a run with the item's own values needs no consistency of the slots around it
+                total = self.verbatim(where, shift, value)
+                if total < RUN and total < max(SHARE * size, min(WIDTH, size)):
+                    continue
+                same = True, False
             old = out[text].get(self.ids[item], (0, True))
             out[text][self.ids[item]] = (max(old[0], total), old[1] and same[1])
         return out
 
+    def verbatim(self, where, shift: int, value: np.ndarray) -> int:
+        """Tokens of the longest run of words and slots equal to the item's."""
+        longest = 0
+        for a, b in where:
+            other = np.flatnonzero(self.value[a:b] != value[a + shift : b + shift])
+            longest = max(longest, int(np.diff(np.concatenate([[-1], other, [b - a]])).max()) - 1)
+        return longest
+
     def consistent(self, where, shift: int, value: np.ndarray, kind: np.ndarray) -> tuple[bool, bool]:
         """(slots agree one to one, any slot holds another value)"""
         there: dict = {}
