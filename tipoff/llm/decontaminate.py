@@ -8,12 +8,17 @@ values of the item are equal in the document, and different ones are different,
 numbers or names is caught, and a text that only has the same shape is not. A run of RUN tokens, or SHARE of the item and a window at
 least, with the item's own values counts whatever the slots around it hold.
 
+Windows of words without placeholders, their case folded, are joined in the same way: they find exact copies of items in capitals or in
+title case, of which templates keep next to nothing, and copies in another case.
+
 The benchmark is taken in blocks of at most BLOCK tokens, each small enough to send to every task. Null and empty texts and items, and
-items with fewer than LEAST words besides placeholders, match nothing. Documents may have any length; extra columns are ignored.
+items with fewer than LEAST words without a digit, match nothing. Documents may have any length; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,6 +79,17 @@ def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return token, value, kind, np.searchsorted(owner, np.arange(len(raw) + 1))
 
 
+def literals(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word in folded case, whether it has a digit, where each text's words begin)."""
+    raw = [(t or "").casefold().encode() for t in texts]
+    joined = b"\n".join(raw) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    word, start, end = _word_hashes(joined)
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57), dtype=np.int64)])
+    bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
+    return word, digits[end] > digits[start], np.searchsorted(start, bounds)
+
+
 def windows(token: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of each window of `width` tokens inside one text."""
     m = len(token) - width + 1
@@ -87,20 +103,19 @@ def windows(token: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
     return mixed(h[at]), at
 
 
-class Block:
-    """Templates of some benchmark items and a hash table of their windows."""
+class Table:
+    """Hash tables of the windows of some items' tokens."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids = [i for i, _ in items]
-        self.token, self.value, self.kind, self.first = templates([t for _, t in items])
-        size = np.diff(self.first)
-        words = np.add.reduceat(np.append(self.kind == 0, False).astype(np.int64), self.first[:-1]) * (size > 0) if len(items) else size
+    def __init__(self, token: np.ndarray, plain: np.ndarray, first: np.ndarray):
+        self.first = first
+        size = np.diff(first)
+        words = np.add.reduceat(np.append(plain, False).astype(np.int64), first[:-1]) * (size > 0) if len(size) else size
         self.tables = {}
         for width in sorted({*np.minimum(size[words >= LEAST], WIDTH).tolist()}):
-            h, at = windows(self.token, self.first, width)
-            item = np.searchsorted(self.first, at, "right") - 1
+            h, at = windows(token, first, width)
+            item = np.searchsorted(first, at, "right") - 1
             ok = (words[item] >= LEAST) & ((size[item] == width) if width < WIDTH else True)
-            literal = np.concatenate([[0], np.cumsum(self.kind == 0)])
+            literal = np.concatenate([[0], np.cumsum(plain)])
             ok &= literal[at + width] - literal[at] >= LEAST
             order = np.argsort(h[ok], kind="stable")
             h, at = h[ok][order], at[ok][order]
@@ -109,10 +124,8 @@ class Block:
             if len(h):
                 self.tables[width] = (h, at, seen)
 
-    def found(self, texts: list[str | None]) -> list[dict[int, tuple[int, bool]]]:
-        """For each text: item id -> (tokens matched, whether slots hold other values)."""
-        token, value, kind, first = templates(texts)
-        out: list[dict[int, tuple[int, bool]]] = [{} for _ in texts]
+    def covered(self, token: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, list[tuple[int, int]], int]]:
+        """(text, item, shift, runs of the item's tokens that match, their total) where a run has RUN tokens or all have SHARE of the item."""
         spans: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
         for width, (hashes, places, seen) in self.tables.items():
             h, at = windows(token, first, width)
@@ -137,17 +150,41 @@ class Block:
                     where.append((a, b))
                     a, b = x, y
             size = int(self.first[item + 1] - self.first[item])
-            if longest < RUN and total < SHARE * size:
-                continue
+            if longest >= RUN or total >= SHARE * size:
+                yield text, item, shift, where, total
+
+
+class Block:
+    """Templates and words of some benchmark items, with their tables."""
+
+    def __init__(self, items: list[tuple[int, str | None]]):
+        self.ids = [i for i, _ in items]
+        token, self.value, self.kind, first = templates([t for _, t in items])
+        self.size = np.diff(first)
+        self.templates = Table(token, self.kind == 0, first)
+        word, digit, first = literals([t for _, t in items])
+        self.literals = Table(word, ~digit, first)
+
+    def found(self, texts: list[str | None]) -> list[dict[int, tuple[int, bool]]]:
+        """For each text: item id -> (tokens matched, whether slots hold other values)."""
+        token, value, kind, first = templates(texts)
+        out: list[dict[int, tuple[int, bool]]] = [{} for _ in texts]
+        for text, item, shift, where, total in self.templates.covered(token, first):
             same = self.consistent(where, shift, value, kind)
             if not same[0]:
                 # a run with the item's own values needs no consistency of the slots around it
-                total = self.verbatim(where, shift, value)
+                total, size = self.verbatim(where, shift, value), self.size[item]
                 if total < RUN and total < max(SHARE * size, min(WIDTH, size)):
                     continue
                 same = True, False
             old = out[text].get(self.ids[item], (0, True))
             out[text][self.ids[item]] = (max(old[0], total), old[1] and same[1])
+        word, _, first = literals(texts)
+        verbatim: dict[tuple[int, int], int] = {}
+        for text, item, _, where, total in self.literals.covered(word, first):
+            verbatim[text, item] = max(total, verbatim.get((text, item), 0))
+        for (text, item), total in verbatim.items():
+            out[text].setdefault(self.ids[item], (total, False))
         return out
 
     def verbatim(self, where, shift: int, value: np.ndarray) -> int:
