@@ -88,7 +88,6 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "season_efficiency": lambda t: t.means,
     "schedule_strength": lambda t: ratings.schedule_strength(t.rated, t.means),
     "adjusted_efficiency": lambda t: ratings.adjusted(t.rated),
-    "adjusted_efficiency_thin": lambda t: ratings.adjusted(ratings.per_100(domain.thin(t.games)), steps=4).drop("steps"),
     "seasons": lambda t: t.seasons,
     "close_games": lambda t: score.close_games(t.games),
     "draft_production": lambda t: score.draft_production(t.picks),

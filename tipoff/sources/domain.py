@@ -39,11 +39,6 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("*", F.when(F.col("order_key") % 20 != 0, F.col("opp")).alias("opp_id"), year.alias("start_year"), season_key(year).alias("season"))
 
 
-def thin(games: DataFrame) -> DataFrame:
-    """A part of the schedule in which teams have few games a season."""
-    return games.filter(F.col("order_key") % 23 == 1)
-
-
 def seasons(games: DataFrame, teams: DataFrame) -> DataFrame:
     """A row for each team and season with record, points, polls, seed and tournament result, which follow from the order by wins."""
     by = games.groupBy("team_id", "season", "start_year").agg(
