@@ -97,7 +97,7 @@ def test_label_sample_is_the_least_hashes(spark):
 
     plain = [(i, "u", "<div>a b c</div>") for i in range(60)]
     pages = spark.createDataFrame([*plain, (None, "u", None), (None, "u", ""), (99, "u", "<nav>x</nav><article><p>one two three</p></article>")], "page_id long, url string, html string")
-    assert html_text.learned_weights(pages, labelled=2) == html_text.learned_weights(pages, labelled=50)
+    assert vars(html_text.learned(pages, labelled=2)) == vars(html_text.learned(pages, labelled=50))
     got = {(r["page_id"], r["text"]) for r in html_text.page_text(pages).collect()}
     assert (99, "one two three") in got and (None, "") in got
     assert html_text.page_text(pages.limit(0)).count() == 0
