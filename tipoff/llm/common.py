@@ -44,6 +44,18 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def chunks(texts: list, most: int = 1_000_000):
+    """Slices of about `most` characters."""
+    start, n = 0, 0
+    for k, t in enumerate(texts):
+        n += len(t or "")
+        if n >= most:
+            yield texts[start : k + 1]
+            start, n = k + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

@@ -11,27 +11,40 @@ least, with the item's own values counts whatever the slots around it hold.
 Windows of words without placeholders, their case folded, are joined in the same way: they find exact copies of items in capitals or in
 title case, of which templates keep next to nothing, and copies in another case.
 
-The benchmark is taken in blocks of at most BLOCK tokens, each small enough to send to every task. Null and empty texts and items, and
-items with fewer than LEAST words without a digit, match nothing. Documents may have any length; extra columns are ignored.
+Windows of both kinds are a table of (hash, item, place), as large as the benchmark. Documents are scanned once: a window whose bit is
+set in a bit set of BITS bits, made from all hashes of that table and sent to every task, is a candidate with its values beside it; candidates
+meet the table in a hash join, and the windows of a row and an item are judged together. The bit set has a fixed size: a larger benchmark
+gives more candidates, never other rows. Executors that are lost cost only their tasks: the scan's candidates and the windows are written
+tables.
+
+Each row of docs gives one row, whatever its id: null and repeated ids are told apart by a number that the scan gives each row. Repeated items
+and items of one id count as one item id; items of a null id are left out. Null and empty texts and items, and items with fewer than LEAST
+words without a digit, match nothing; so does everything where either table is empty. Documents may have any length; extra columns are
+ignored, whatever their names. Ties have no order: item_ids are sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import map_batches
+from tipoff.llm.common import chunks, map_batches, written
 from tipoff.llm.hashing import BASE, Prefix, mixed
 
 WIDTH, RUN, SHARE, LEAST = 8, 13, 0.5, 3
-BLOCK = 2_000_000
+#: Bits of the candidate filter: 8 MB at any size of the benchmark.
+BITS = 1 << 26
 NUMBER, UNIT, NAME = 1, 2, 3
-#: Units of measure.
-UNITS = "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years kmh mph hz khz mhz v volt volts w watt watts kw j joule joules n newton newtons c f k degree degrees percent dollar dollars euro euros cent cents usd eur".split()
+#: Units of measure, in English, then German, French and Spanish.
+UNITS = ("mm cm m km inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years kmh mph hz khz mhz v volt volts w watt watts kw j joule joules n newton newtons c f k degree degrees percent dollar dollars euro euros cent cents usd eur"
+    " kilometer zentimeter millimeter meile meilen gramm kilogramm tonne tonnen pfund sekunde sekunden minuten stunde stunden tag tage woche wochen monat monate jahr jahre grad prozent"
+    " mètre mètres kilomètre kilomètres gramme grammes kilo kilos tonnes livre livres seconde secondes heure heures jour jours semaine semaines mois an ans année années degré degrés"
+    " metro metros kilómetro kilómetros gramo gramos tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados céntimos").split()
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 33 or b == 127 or 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 else b for b in range(256))
 
 
@@ -64,7 +77,9 @@ def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     number = digits[end] > digits[start]
     inside = np.zeros(n, bool)
     inside[1:] = same[1:] & (stops[start[1:]] == stops[end[:-1]])
-    capital = (data[start] >= 65) & (data[start] <= 90)
+    # A-Z, and the capitals of Latin-1, Greek and Cyrillic by their two bytes
+    one, two = data[start], data[np.minimum(start + 1, len(data) - 1)]
+    capital = (one >= 65) & (one <= 90) | (one == 0xC3) & (two >= 0x80) & (two <= 0x9E) | (one == 0xCE) & (two >= 0x91) & (two <= 0xA9) | (one == 0xD0) & (two >= 0x80) & (two <= 0xAF)
     after = np.zeros(n, bool)
     after[1:] = number[:-1] & same[1:]
     kind = np.where(number, NUMBER, 0)
@@ -103,158 +118,193 @@ def windows(token: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
     return mixed(h[at]), at
 
 
-class Table:
-    """Hash tables of the windows of some items' tokens."""
+def views(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the view, token, value, kind or digit, where each text's tokens begin): templates, then words in folded case."""
+    token, value, kind, first = templates(texts)
+    yield 0, token, value, kind, first
+    word, digit, first = literals(texts)
+    yield 1, word, word, digit.astype(np.int64), first
 
-    def __init__(self, token: np.ndarray, plain: np.ndarray, first: np.ndarray):
-        self.first = first
-        size = np.diff(first)
-        words = np.add.reduceat(np.append(plain, False).astype(np.int64), first[:-1]) * (size > 0) if len(size) else size
-        self.tables = {}
+
+def named(h: np.ndarray, view: int, width: int) -> np.ndarray:
+    """Hashes of windows of one view and width, apart from those of others."""
+    return mixed(h + np.uint64(view * 64 + width))
+
+
+def _spread(a: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
+    """Lists of the `width` values from each place on."""
+    flat = a[at[:, None] + np.arange(width)].ravel().astype(np.int64, copy=False) if len(at) else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(flat))
+
+
+def item_windows(texts: list[str | None]) -> list[pa.RecordBatch]:
+    """Windows of items: h, view, width, item (number in `texts`), place, size (tokens of the item), kinds, values."""
+    out = []
+    for view, token, value, kind, first in views(texts):
+        size, plain = np.diff(first), kind == 0
+        so_far = np.concatenate([[0], np.cumsum(plain)])
+        words = so_far[first[1:]] - so_far[first[:-1]]
         for width in sorted({*np.minimum(size[words >= LEAST], WIDTH).tolist()}):
             h, at = windows(token, first, width)
             item = np.searchsorted(first, at, "right") - 1
-            ok = (words[item] >= LEAST) & ((size[item] == width) if width < WIDTH else True)
-            literal = np.concatenate([[0], np.cumsum(plain)])
-            ok &= literal[at + width] - literal[at] >= LEAST
-            order = np.argsort(h[ok], kind="stable")
-            h, at = h[ok][order], at[ok][order]
-            seen = np.zeros(1 << 22, bool)
-            seen[(h >> np.uint64(42)).astype(np.int64)] = True
-            if len(h):
-                self.tables[width] = (h, at, seen)
-
-    def covered(self, token: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, list[tuple[int, int]], int]]:
-        """(text, item, shift, runs of the item's tokens that match, their total) where a run has RUN tokens or all have SHARE of the item."""
-        spans: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        for width, (hashes, places, seen) in self.tables.items():
-            h, at = windows(token, first, width)
-            maybe = seen[(h >> np.uint64(42)).astype(np.int64)]
-            h, at = h[maybe], at[maybe]
-            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                t = int(at[k])
-                text = int(np.searchsorted(first, t, "right")) - 1
-                for p in places[low[k] : high[k]].tolist():
-                    item = int(np.searchsorted(self.first, p, "right")) - 1
-                    spans.setdefault((text, item, t - p), []).append((p, p + width))
-        for (text, item, shift), pieces in spans.items():
-            pieces.sort()
-            total, longest, (a, b) = 0, 0, pieces[0]
-            where = []
-            for x, y in [*pieces[1:], (1 << 60, 0)]:
-                if x <= b:
-                    b = max(b, y)
-                else:
-                    total, longest = total + b - a, max(longest, b - a)
-                    where.append((a, b))
-                    a, b = x, y
-            size = int(self.first[item + 1] - self.first[item])
-            if longest >= RUN or total >= SHARE * size:
-                yield text, item, shift, where, total
-
-
-class Block:
-    """Templates and words of some benchmark items, with their tables."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids = [i for i, _ in items]
-        token, self.value, self.kind, first = templates([t for _, t in items])
-        self.size = np.diff(first)
-        self.templates = Table(token, self.kind == 0, first)
-        word, digit, first = literals([t for _, t in items])
-        self.literals = Table(word, ~digit, first)
-
-    def found(self, texts: list[str | None]) -> list[dict[int, tuple[int, bool]]]:
-        """For each text: item id -> (tokens matched, whether slots hold other values)."""
-        token, value, kind, first = templates(texts)
-        out: list[dict[int, tuple[int, bool]]] = [{} for _ in texts]
-        for text, item, shift, where, total in self.templates.covered(token, first):
-            same = self.consistent(where, shift, value, kind)
-            if not same[0]:
+            ok = (words[item] >= LEAST) & ((size[item] == width) if width < WIDTH else True) & (so_far[at + width] - so_far[at] >= LEAST)
+            h, at, item = h[ok], at[ok], item[ok]
+            n = len(at)
+            columns = (named(h, view, width).view(np.int64), np.full(n, view), np.full(n, width), item, at - first[item], size[item])
+            out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), _spread(kind, at, width), _spread(value.view(np.int64), at, width)], ["h", "view", "width", "item", "place", "size", "kinds", "values"]))
+    return out
+
+
+def judged(rows: list[tuple[int, int, int, int, int, list[int], list[int], list[int]]]) -> tuple[int, bool] | None:
+    """rows: (view, shift, place, width, size, kinds, the item's values, the document's values) of one document's windows that one item has
+    too -> (tokens matched, whether slots hold other values), or None where they do not make the item."""
+    best: tuple[int, bool] | None = None
+    for (view, _), same in groupby(sorted(rows, key=lambda r: r[:3]), key=lambda r: r[:2]):
+        same = list(same)
+        size, where, kinds, mine, theirs = same[0][4], [], {}, {}, {}
+        for _, _, p, width, _, k, x, y in same:
+            if where and p <= where[-1][1]:
+                where[-1][1] = max(where[-1][1], p + width)
+            else:
+                where.append([p, p + width])
+            if not view:
+                for d in range(width):
+                    kinds[p + d], mine[p + d], theirs[p + d] = k[d], x[d], y[d]
+        total = sum(b - a for a, b in where)
+        if max(b - a for a, b in where) < RUN and total < SHARE * size:
+            continue
+        other = False
+        if not view:
+            there: dict = {}
+            back: dict = {}
+            slots = [(kinds[p], mine[p], theirs[p]) for p in sorted(kinds) if kinds[p]]
+            if all(there.setdefault((k, x), y) == y and back.setdefault((k, y), x) == x for k, x, y in slots):
+                other = any(x != y for _, x, y in slots)
+            else:
                 # a run with the item's own values needs no consistency of the slots around it
-                total, size = self.verbatim(where, shift, value), self.size[item]
+                total = longest_equal(where, mine, theirs)
                 if total < RUN and total < max(SHARE * size, min(WIDTH, size)):
                     continue
-                same = True, False
-            old = out[text].get(self.ids[item], (0, True))
-            out[text][self.ids[item]] = (max(old[0], total), old[1] and same[1])
-        word, _, first = literals(texts)
-        verbatim: dict[tuple[int, int], int] = {}
-        for text, item, _, where, total in self.literals.covered(word, first):
-            verbatim[text, item] = max(total, verbatim.get((text, item), 0))
-        for (text, item), total in verbatim.items():
-            out[text].setdefault(self.ids[item], (total, False))
-        return out
-
-    def verbatim(self, where, shift: int, value: np.ndarray) -> int:
-        """Tokens of the longest run of words and slots equal to the item's."""
-        longest = 0
-        for a, b in where:
-            other = np.flatnonzero(self.value[a:b] != value[a + shift : b + shift])
-            longest = max(longest, int(np.diff(np.concatenate([[-1], other, [b - a]])).max()) - 1)
-        return longest
-
-    def consistent(self, where, shift: int, value: np.ndarray, kind: np.ndarray) -> tuple[bool, bool]:
-        """(slots agree one to one, any slot holds another value)"""
-        there: dict = {}
-        back: dict = {}
-        for a, b in where:
-            for p in (np.flatnonzero(self.kind[a:b]) + a).tolist():
-                k, x, y = int(self.kind[p]), int(self.value[p]), int(value[p + shift])
-                if there.setdefault((k, x), y) != y or back.setdefault((k, y), x) != x:
-                    return False, True
-        return True, any(x != y for (_, x), y in there.items())
-
-
-def _items(benchmark: DataFrame, id_col: str, text_col: str):
-    """Blocks of at most BLOCK bytes / 6 tokens, one item at least, streamed to the driver one at a time."""
-    block, n = [], 0
-    rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).filter(F.col(id_col).isNotNull()).orderBy(id_col, text_col)
-    for i, t in rows.toLocalIterator():
-        if block and n + len(t or "") > 6 * BLOCK:
-            yield block
-            block, n = [], 0
-        block.append((i, t))
-        n += len(t or "")
-    if block:
-        yield block
+        best = (total, other) if best is None else (max(best[0], total), best[1] and other)
+    return best
+
+
+def longest_equal(where: list[list[int]], mine: dict[int, int], theirs: dict[int, int]) -> int:
+    """Tokens of the longest run of words and slots equal to the item's."""
+    longest = 0
+    for a, b in where:
+        now = 0
+        for p in range(a, b):
+            now = now + 1 if mine[p] == theirs[p] else 0
+            longest = max(longest, now)
+    return longest
+
+
+def _windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The benchmark's windows, written once, with a number for each item."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+
+    def make():
+        def step(batch):
+            out, n = [], 0
+            for some in chunks(batch.column(1).to_pylist()):
+                for found in item_windows(some):
+                    item = batch.column(0).take(pa.array(np.asarray(found.column(3)) + n))
+                    out.append(pa.RecordBatch.from_arrays([item, *(found.column(k) for k in (0, 1, 2, 4, 5, 6, 7))], ["item", "h", "view", "width", "place", "size", "kinds", "values"]))
+                n += len(some)
+            return pa.concat_batches(out) if out else None
+
+        return step
+
+    # the text itself tells items of one id apart, as windows of different texts must not make one item
+    named_items = items.select(F.struct("item_id", F.xxhash64("text").alias("text_hash")).alias("item"), "text")
+    rows = map_batches(named_items, make, "item struct<item_id:bigint,text_hash:bigint>, h long, view long, width long, place long, size long, kinds array<long>, values array<long>")
+    return written(rows.select("item.*", "h", "view", "width", "place", "size", "kinds", "values"), "benchmark-windows")
+
+
+def _bits(table: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(the bit set of all hashes, the views and widths that occur): BITS / 8 bytes at most reach the driver, whatever the benchmark's size."""
+    slot = F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1)
+    words = table.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - BITS.bit_length() + 1}) & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.uint64)
+    out[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
+    return out, sorted((r["view"], r["width"]) for r in table.select("view", "width").distinct().collect())
+
+
+def _candidates(docs: DataFrame, bits: np.ndarray, kinds: list[tuple[int, int]], id_col: str, text_col: str) -> DataFrame:
+    """One row for each of docs: id, hits (h, view, width, at, values): its windows that the bit set lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shift = np.uint64(64 - BITS.bit_length() + 1)
+
+    def hits(texts: list[str | None]) -> list[list[dict]]:
+        found: list[list[dict]] = [[] for _ in texts]
+        own = shared.value
+        for view, token, value, _, first in views(texts):
+            for v, width in kinds:
+                if v != view:
+                    continue
+                h, at = windows(token, first, width)
+                h = named(h, view, width)
+                slot = h >> shift
+                maybe = np.flatnonzero(own[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+                text = np.searchsorted(first, at[maybe], "right") - 1
+                for k, t in zip(maybe.tolist(), text.tolist(), strict=True):
+                    a = int(at[k])
+                    found[t].append({"h": int(h[k].view(np.int64)), "view": view, "width": width, "at": a - int(first[t]), "values": None if view else value[a : a + width].view(np.int64).tolist()})
+        return found
+
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("view", pa.int64()), ("width", pa.int64()), ("at", pa.int64()), ("values", pa.list_(pa.int64()))]))
+
+    def make():
+        def step(batch):
+            out = []
+            for some in chunks(batch.column(1).to_pylist()):
+                out += hits(some)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["id", "hits"])
+
+        return step
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return map_batches(rows, make, "id long, hits array<struct<h:bigint,view:bigint,width:bigint,at:bigint,values:array<bigint>>>")
+
+
+def _judged(met: DataFrame) -> DataFrame:
+    """Windows (row, item_id, text_hash, view, shift, place, width, size, kinds, mine, theirs), those of a row and item side by side -> row, item_id, tokens, other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        done: list[tuple] = []
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["row", "item_id", "tokens", "other"])
+
+        for (row, item, _), same in groupby(flat(), key=lambda r: r[:3]):
+            if (found := judged([r[3:] for r in same])) is not None:
+                done.append((row, item, *found))
+            if len(done) >= 10_000:
+                yield flush()
+                done.clear()
+        if done:
+            yield flush()
+
+    return met.mapInArrow(run, "row long, item_id long, tokens long, other boolean")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of docs: id, contaminated, n_items, item_ids, matched_tokens (of the best item), reparameterised (no item with its own values)."""
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
-    parts = []
-    for items in _items(benchmark, item_col, item_text):
-
-        def make(items=items):
-            block = Block(items)
-
-            def step(batch):
-                rows, found, k = batch.column(1).to_pylist(), [], 0
-                while k < len(rows):  # about a megabyte at a time
-                    n, end = 0, k
-                    while end < len(rows) and (end == k or n + len(rows[end] or "") < 1_000_000):
-                        n += len(rows[end] or "")
-                        end += 1
-                    found += block.found(rows[k:end])
-                    k = end
-                ids = [sorted(f) for f in found]
-                most = [max((x[0] for x in f.values()), default=0) for f in found]
-                other = [bool(f) and all(x[1] for x in f.values()) for f in found]
-                return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(most, pa.int64()), pa.array(other, pa.bool_())], [id_col, "item_ids", "matched_tokens", "reparameterised"])
-
-            return step
-
-        parts.append(map_batches(texts, make, f"`{id_col}` long, item_ids array<long>, matched_tokens long, reparameterised boolean"))
-    if not parts:
-        out = texts.select(id_col, F.array().cast("array<long>").alias("item_ids"), F.lit(0).cast("long").alias("matched_tokens"), F.lit(False).alias("reparameterised"))
-    elif len(parts) == 1:
-        out = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        hit = F.size("item_ids") > 0
-        out = every.groupBy(id_col).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("matched_tokens").alias("matched_tokens"), F.coalesce(F.min(F.when(hit, F.col("reparameterised"))), F.lit(False)).alias("reparameterised"))
-    return out.select(id_col, (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").alias("n_items"), "item_ids", "matched_tokens", "reparameterised")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = _windows(benchmark, item_col, item_text)
+    rows = _candidates(docs, *_bits(table), id_col, text_col)
+    # rows are numbered once, in the table
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "id", "hits"), "benchmark-candidates")
+    hits = rows.select("row", F.inline("hits"))
+    met = hits.withColumnRenamed("values", "theirs").hint("merge").join(table.withColumnRenamed("values", "mine"), ["h", "view", "width"])
+    met = met.select("row", "item_id", "text_hash", "view", (F.col("at") - F.col("place")).alias("shift"), "place", "width", "size", "kinds", "mine", "theirs")
+    found = _judged(met.repartition(n, "row").sortWithinPartitions("row", "item_id", "text_hash"))
+    each = found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("tokens").alias("matched_tokens"), F.min("other").alias("reparameterised"))
+    out = rows.select("row", F.col("id").alias(id_col)).hint("merge").join(each, "row", "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<long>"))
+    return out.select(id_col, F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).alias("n_items"), ids.alias("item_ids"), F.coalesce("matched_tokens", F.lit(0)).alias("matched_tokens"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import bucket_of, map_batches
+from tipoff.llm.common import bucket_of, chunks, map_batches
 from tipoff.llm.hashing import Prefix
 
 TRAIN_ROWS = 12_000
@@ -139,18 +139,6 @@ class Machine:
         return cls(bias, np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1:]))
 
 
-def chunks(texts: list, most: int = 1_000_000):
-    """Slices of about `most` characters."""
-    start, n = 0, 0
-    for k, t in enumerate(texts):
-        n += len(t or "")
-        if n >= most:
-            yield texts[start : k + 1]
-            start, n = k + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Machine:
     """Train on labelled rows whose crc32(id as text) mod folds is not held_out; at most `rows` of them."""
     usable = labels.filter(F.col(label_col).isNotNull() & (bucket_of(F.col(id_col), folds) != held_out)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
