@@ -7,10 +7,11 @@
    which all agree become one symbol, the segments are joined with closing symbols, and a suffix array by linear grouping with the
    lengths of common prefixes gives each suffix's longest match; matches of WIDTH bytes or more are covered.
 4. Under a gram of more than GROUP different segments, whole windows are matched by 128-bit names instead, spread over all tasks, so no
-   group needs one task to hold it and none is left out.
+   group needs one task to hold it and none is left out. The starts of a text's matched windows are kept as 64-bit masks.
 
 Null texts count as empty. Texts under WIDTH bytes are never touched. Texts of any length are read in overlapping pieces of PIECE bytes.
-Repeated rows count as copies of each other. Extra columns are ignored.
+Repeated rows count as copies of each other, whatever their ids; a null id comes back as null. All copies of a repeat go, so ties have no
+order. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -231,40 +232,56 @@ def _compared(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, start long, end long")
 
 
-def _left(rows: DataFrame) -> DataFrame:
-    """(name, text, spans) -> name, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+def starts_of(masks: list[dict]) -> Iterator[int]:
+    """The window starts that masks of 64 places each hold."""
+    for m in masks:
+        bits, at = m["mask"] & (1 << 64) - 1, 64 * m["block"]
+        while bits:
+            yield at + (bits & -bits).bit_length() - 1
+            bits &= bits - 1
+
+
+def _left(rows: DataFrame, width: int) -> DataFrame:
+    """(id, text, spans, masks) -> id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
 
     def make():
+        last: list = [None, None]  # rows of a class come one after another
+
         def step(batch):
             out = []
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for t, spans, masks in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if t == last[0]:
+                    out.append(last[1])
+                    continue
                 raw, runs = (t or "").encode(), []
-                for s in sorted((x["start"], x["end"]) for x in spans or ()):
+                for s in sorted([(x["start"], x["end"]) for x in spans or ()] + [(a, a + width) for a in starts_of(masks or [])]):
                     if runs and s[0] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], s[1])
                     else:
                         runs.append([*s])
-                parts, last = [], 0
+                parts, end = [], 0
                 for a, b in runs:
-                    parts.append(raw[last:a])
-                    last = b
-                kept = b"".join([*parts, raw[last:]])
+                    parts.append(raw[end:a])
+                    end = b
+                kept = b"".join([*parts, raw[end:]])
                 out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                last[:] = t, out[-1]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["name", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
         return step
 
-    return map_batches(rows, make, "name binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_batches(rows, make, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, keep_text: bool = True) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the bytes that stay). Equal texts get equal values."""
+def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay). Equal texts get equal values."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("name", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     classes = texts.groupBy("name").agg(F.count("*").alias("copies"), F.first("text").alias("text"))  # copies meet before the shuffle
-    own = written(classes.select(F.xxhash64("name").alias("id"), "name", "copies", "text"), "repeat-texts")
+    # numbers are given once and read from the table, so no two classes share one
+    own = written(classes.select(F.monotonically_increasing_id().alias("id"), "name", "copies", "text"), "repeat-texts")
     long_enough = own.filter(F.octet_length("text") >= width)
     anchors = written(_anchors(long_enough.select("id", "text"), width), "repeat-anchors")
     kinds = anchors.groupBy("key", "a", "b").agg(F.min(F.struct("id", "start", "end", "left")).alias("one"), F.count("*").alias("n"))
@@ -279,10 +296,13 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     found = _compared(few.repartition(n, "key").sortWithinPartitions("key", "id", "start"), width)
     windows = written(_windows(cut.filter(F.col("kinds") > group), width), "repeat-windows")
     common = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    hot = windows.hint("merge").join(common, ["a", "b"], "left_semi").select("id", "start", (F.col("start") + width).alias("end"))
+    hot = windows.hint("merge").join(common, ["a", "b"], "left_semi").select("id", "start").repartition(n, "id")
+    # dealt by id once for both groupings
+    masks = hot.groupBy("id", F.shiftright("start", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(start & 63 AS INT))")).alias("mask")).groupBy("id").agg(F.collect_list(F.struct("block", "mask")).alias("masks"))
     copies = long_enough.filter(F.col("copies") > 1).select("id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"))
-    spans = whole.unionByName(found).unionByName(hot).unionByName(copies)
+    spans = whole.unionByName(found).unionByName(copies)
     gathered = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    done = _left(own.hint("merge").join(gathered, "id", "left").select("name", "text", "spans"))
-    done = done if keep_text else done.drop("kept")
-    return texts.select("id", "name").hint("merge").join(done, "name").drop("name").withColumnRenamed("id", id_col)
+    found_in = own.select("id", "name").hint("merge").join(gathered, "id", "left").join(masks, "id", "left").drop("id")
+    # a class's text meets its spans and then its rows by one dealing by name
+    whole_rows = own.select("name", "text").hint("merge").join(found_in, "name").join(texts.select("id", "name").hint("merge"), "name")
+    return _left(whole_rows.select("id", "text", "spans", "masks"), width).withColumnRenamed("id", id_col)
