@@ -1,21 +1,26 @@
-"""Connected components of an edge table by alternating stars; labels and links stay distributed."""
+"""Connected components of an edge table by alternating stars; labels and links stay distributed.
+
+Repeated edges and loops count once or not at all; edges with a null end are left out; an empty table has no components. Each step is a
+written table, and the one before it is removed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import written
+from tipoff.llm.common import removed, written_at
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges (u, v), u > v: each node hands its neighbours (large: those above it; small: those below and itself) to the least of them."""
+    # the least neighbours are dealt once more, so that both sides of the join are shuffles and a hot centre's rows can be split
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(n, "u")
         out = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).repartition(n, "u")
         out = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return out.filter(F.col("u") != F.col("v")).distinct()
 
@@ -23,10 +28,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges (a, b) of integer ids -> (id, component): the least id reachable, for every id that has an edge to another."""
     now = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = written(now, f"{name}-edges")
+    now, path = written_at(now, f"{name}-edges")
     mark = None
     while True:
-        now = written(_star(_star(now, True), False), f"{name}-step")
+        (now, path), old = written_at(_star(_star(now, True), False), f"{name}-step"), path
+        removed(edges.sparkSession, old)
         new = tuple(now.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == mark:
             break

@@ -9,7 +9,9 @@
 4. The confirmed links' connected components are the classes.
 
 Null texts and texts without words have an empty set and are linked with nothing. Bands find a pair of similarity 0.8 but for
-one in 2 * 10^7. Extra columns are ignored. A repeated id counts as one document.
+one in 2 * 10^7. Texts are taken whole, whatever their length. Each row of docs comes back with its id; rows of one id count as one document
+in component_id, rows of a null id are linked with nothing by name and come back with the class of their text. Ties go to the least id. An
+empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
