@@ -7,7 +7,10 @@ bins that would hold an item twice, and best-fits the displaced items. After eac
 moves to the next island of its block. The best island gives the block's sequences; then bins that stayed poorly filled
 are dissolved, dealt anew over fewer blocks, and packed in the same way.
 
-Null and empty texts are one piece holding only the end id. Repeated rows are packed each. Blocks, islands and elites are
+An island whose best plan meets the lower bound is done, as no plan has fewer bins; the others run their crossovers.
+
+Null and empty texts are one piece holding only the end id; long texts are cut into as many pieces as they need. Repeated rows are packed
+each, whatever their ids, null ids too. An empty table gives no rows; extra columns are ignored. Blocks, islands and elites are
 rows of Spark tables of bounded size; nothing is gathered on the driver but a count.
 """
 
@@ -314,8 +317,8 @@ def _packed(items: DataFrame, capacity: int, name: str) -> DataFrame:
 def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """parts: pieces() or any rows with id, piece and length; adds sequence_id and offset (gapless from 0 in each sequence).
 
-    `parts` is read twice and must give the same rows each time (a written table)."""
-    parts = parts.withColumn("_row", F.monotonically_increasing_id())
+    Rows are numbered once, in a written table; so repeated rows and ids are packed each."""
+    parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
     full = parts.filter(F.col("length") >= capacity).select("*", (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     loose = parts.filter(F.col("length") < capacity)
     items = written(loose.select(F.struct(F.col(id_col), "piece", "_row").alias("key"), "length"), "packing-items")
@@ -333,5 +336,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
 
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    parts = written(pieces(docs, path, capacity, 0, id_col, text_col), "packing-pieces")
-    return pack(parts, capacity, id_col)
+    return pack(pieces(docs, path, capacity, 0, id_col, text_col), capacity, id_col)
