@@ -5,8 +5,12 @@ linear in their number. Features are the distinct words of the whole text hashed
 statistic (shares of capitals, digits, marks and bars, repeats of words and lines, lengths). It is trained by Adam on at most
 TRAIN_ROWS labelled rows, those with the least xxhash64 of their id, which is the only bound on what it learns from.
 
+A row's features come as two bytes each, of which there are at most DIMS different ones, so the driver holds 400 MB at worst.
+
 Null and empty texts have no words and the statistics of an empty text; they get a score like any other. Without any labelled row
-of both kinds the score is 0.5 everywhere. Extra columns are ignored; a row scores alike wherever it stands.
+of both kinds the score is 0.5 everywhere. An id with several labels counts once, with the greatest; labels of null ids or null labels are
+left out. Texts are scored whole, whatever their length. Repeated rows are scored each, and learned from each where labelled. An empty
+table gives an empty result. Extra columns are ignored; a row scores alike wherever it stands.
 """
 
 from __future__ import annotations
@@ -95,6 +99,12 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return idx, x, at
 
 
+def values_of(idx: np.ndarray) -> np.ndarray:
+    """Values of one text's features, as features() gives them."""
+    word = idx >= len(STATS) * BINS
+    return np.where(word, 1 / np.sqrt(max(1, int(word.sum()))), 1).astype(np.float32)
+
+
 class Machine:
     """A factorisation machine of binary targets."""
 
@@ -108,8 +118,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     @classmethod
-    def trained(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Machine:
-        """rows: (feature numbers, values) of each example."""
+    def trained(cls, rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
+        """rows: feature numbers of each example."""
         rng = np.random.default_rng(seed)
         rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3) if len(labels) else 0.5
         w = np.zeros((DIMS, FACTORS + 1), np.float32)
@@ -120,8 +130,8 @@ class Machine:
             order = rng.permutation(len(rows))
             for k in range(0, len(order), BATCH):
                 some = order[k : k + BATCH]
-                idx, x = np.concatenate([rows[i][0] for i in some]), np.concatenate([rows[i][1] for i in some])
-                at = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in some])])
+                idx, x = np.concatenate([rows[i] for i in some]).astype(np.int32), np.concatenate([values_of(rows[i]) for i in some])
+                at = np.concatenate([[0], np.cumsum([len(rows[i]) for i in some])])
                 error = (cls(bias, w[:, 0], w[:, 1:]).score(idx, x, at) - labels[some]).astype(np.float32) / len(some)
                 each = np.repeat(error, np.diff(at)) * x
                 vx = w[idx, 1:] * x[:, None]
@@ -141,23 +151,24 @@ class Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Machine:
     """Train on labelled rows whose crc32(id as text) mod folds is not held_out; at most `rows` of them."""
-    usable = labels.filter(F.col(label_col).isNotNull() & (bucket_of(F.col(id_col), folds) != held_out)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
+    usable = labels.filter(F.col(label_col).isNotNull() & (bucket_of(F.col(id_col), folds) != held_out)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(rows)
 
     def make():
         def step(batch):
             out = []
             for some in chunks(batch.column(1).to_pylist()):
-                idx, x, at = features(some)
-                out += [(idx[a:b].tobytes(), x[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], ["label", "idx", "x"])
+                idx, _, at = features(some)
+                idx = idx.astype(np.uint16)
+                out += [idx[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["label", "idx"])
 
         return step
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
-    table = map_batches(picked, make, "label int, idx binary, x binary").toArrow()
-    examples = sorted(zip(table["idx"].to_pylist(), table["x"].to_pylist(), table["label"].to_pylist(), strict=True))
-    return Machine.trained([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for i, x, _ in examples], np.array([y for _, _, y in examples], np.float32))
+    table = map_batches(picked, make, "label int, idx binary").toArrow()
+    examples = sorted(zip(table["idx"].to_pylist(), table["label"].to_pylist(), strict=True))
+    return Machine.trained([np.frombuffer(i, np.uint16) for i, _ in examples], np.array([y for _, y in examples], np.float32))
 
 
 def scored(docs: DataFrame, machine: Machine, threshold: float = 0.7, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

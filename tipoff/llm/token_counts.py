@@ -6,7 +6,8 @@ a whole token counts one, and only the rest goes through the tokenizer's merges.
 of bounded size. Texts holding an added token's string, or white space runs where that cut is not a boundary, are counted
 by the library as a whole.
 
-Nulls and empty texts count 0 tokens. Repeated rows are counted each. Input columns other than the id and the text are ignored.
+Nulls and empty texts count 0 tokens. Texts are counted whole, whatever their length. Repeated rows and null ids are counted each; an empty
+table gives an empty result. Input columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ Each hit is looked at in a window of words: quotation marks, reporting words and
 model of counts of hits by kind, fitted on the same rows with PRIOR as its prior, gives the score.
 
 At most POSITIVE toxic and NEGATIVE other labelled rows are learned from, those with the least xxhash64 of their id. Null and empty
-texts have no hits and get the score of such texts. Without toxic rows the lexicon is empty. Extra columns are ignored.
+texts have no hits and get the score of such texts. Without toxic rows the lexicon is empty. An id with several labels counts once, with the
+greatest; labels of null ids and null labels are left out. Texts are read whole, whatever their length; repeated rows are scored each, and
+learned from each where labelled. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -231,7 +233,7 @@ def _copies(bands: list[list[int]]) -> list[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text"):
     """(terms, weights) from labelled rows whose crc32(id as text) mod folds is not held_out."""
-    usable = labels.filter(F.col(label_col).isNotNull() & (bucket_of(F.col(id_col), folds) != held_out)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
+    usable = labels.filter(F.col(label_col).isNotNull() & (bucket_of(F.col(id_col), folds) != held_out)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
     order = (F.xxhash64("id"), "id")
     sample = usable.filter("label = 1").orderBy(*order).limit(POSITIVE).unionByName(usable.filter("label = 0").orderBy(*order).limit(NEGATIVE))
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
