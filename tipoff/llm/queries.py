@@ -1,4 +1,4 @@
-"""The opN queries and the pipeline as (spark, sf_dir) -> DataFrame."""
+"""The opN queries as (spark, sf_dir) -> DataFrame."""
 
 from __future__ import annotations
 
@@ -76,10 +76,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     each = (op1_best_fit_packing, op2_substring_dedup, op3_quality_classifier, op4_html_extraction, op5_media_columns, op6_toxicity, op7_suffix_array_dedup, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_token_counts)
-    return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
