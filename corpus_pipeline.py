@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near duplicates, repeated substrings, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of `docs`; all but the last return the columns of documents. Rows of null or
-empty texts are scored, kept or dropped like any other; rows of a null doc_id leave at the first stage, as no decision can name them.
+empty texts are scored, kept or dropped like any other. Rows of a null doc_id are scored by the first stage; the stages after it name
+documents by doc_id, so they let such rows pass. A repeated doc_id stands or falls with all its rows. An empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on labelled rows of `docs` and drop what scores under LEAST_QUALITY."""
     machine = quality.fit(docs, read(spark, sf_dir, "labels"))
-    out = quality.scored(docs.filter(F.col("doc_id").isNotNull()), machine, keep=COLUMNS[1:])
+    out = quality.scored(docs, machine, keep=COLUMNS[1:])
     return out.filter(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts linked by a similarity of 0.8 or more of five-word shingles stays: that of the least id."""
-    kept = near_dedup.near_duplicates(docs, width=5, percent=80).filter("kept").select("doc_id")
-    return docs.hint("merge").join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    named = docs.filter(F.col("doc_id").isNotNull())
+    gone = near_dedup.near_duplicates(named, width=5, percent=80).filter("NOT kept").select("doc_id")
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +47,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 tokens as the genetic search finds: one row for each piece."""
     return packing.packed_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
