@@ -2,8 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tipoff.functions import names
 from tipoff.functions import seasons as S
-from tipoff.operators import ratings, sync
+from tipoff.operators import ingest, matchup, ratings, sync
 
 
 def test_season_rules(spark):
@@ -32,13 +33,54 @@ def test_win_probability_of_known_matchups(spark):
 
 
 def test_adjusted_ratings_balance(spark):
-    rows = [("s", a, b, float(m), 100.0 + m, 100.0) for a, b, m in ((1, 2, 10), (2, 1, -10), (2, 3, 5), (3, 2, -5))]
-    out = ratings.adjusted(spark.createDataFrame(rows, "season string, team_id long, opp_id long, margin double, off double, def double")).orderBy("rank").collect()
+    rows = [("s", a, b, "N", m > 0, float(m), 100.0 + m, 100.0) for a, b, m in ((1, 2, 10), (2, 1, -10), (2, 3, 5), (3, 2, -5))]
+    games = spark.createDataFrame(rows, "season string, team_id long, opp_id long, loc string, won boolean, margin double, off double, def double")
+    out = ratings.season_ratings(games).orderBy("rank").collect()
     assert [r.team_id for r in out] == [1, 2, 3]
     assert all(abs(r.oe - r.de - r.em) < 1e-9 for r in out)
+    assert [(r.wins, r.losses, r.t1w, r.t1l) for r in out] == [(1, 0, 1, 0), (1, 1, 1, 1), (0, 1, 0, 1)]
 
 
-def test_deltas_skip_falls_and_strangers(spark):
-    old = spark.createDataFrame([(1, 5, 5), (2, 5, 5), (3, 1, 1)], "team_id long, w long, l long")
-    new = spark.createDataFrame([(1, 6, 5), (2, 4, 6), (3, 1, 1), (4, 1, 0)], "team_id long, w long, l long")
-    assert [tuple(r) for r in sync.deltas(old, new).collect()] == [(1, 1, 0)]
+def test_deltas_keep_any_rise(spark):
+    old = spark.createDataFrame([(1, 5, 5), (2, 5, 5), (3, 1, 1), (5, 5, 5)], "team_id long, w long, l long")
+    new = spark.createDataFrame([(1, 6, 5), (2, 4, 6), (3, 1, 1), (4, 1, 0), (5, 4, 5)], "team_id long, w long, l long")
+    assert sorted(tuple(r) for r in sync.deltas(old, new).collect()) == [(1, 1, 0), (2, -1, 1)]
+
+
+def test_texts_of_matchups(spark):
+    texts = ["1972 UCLA", "Duke 1999-00", "2014-2015 Kentucky", "  North Carolina   1957 ", "Gonzaga", "1999-00"]
+    out = [tuple(r.p) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(matchup.parsed(F.col("t")).alias("p")).collect()]
+    assert out == [("1971-72", 1972, "UCLA", None), ("1999-00", 2000, "Duke", None), ("2014-15", 2015, "Kentucky", None), ("1956-57", 1957, "North Carolina", None), (None, None, "Gonzaga", "no year"), ("1999-00", 2000, "", None)]
+
+
+def test_teams_resolve_in_order(spark):
+    teams = spark.createDataFrame([(1, "Duke", "Duke Blue Devils", "duke"), (2, "North Carolina", "North Carolina Tar Heels", "north-carolina"), (3, "North Carolina State", "North Carolina State Wolfpack", "nc-state"), (4, "Ohio", "Ohio Bobcats", "ohio"), (5, "Ohio State", "Ohio State Buckeyes", "ohio-state")], "team_id long, school string, name string, slug string")
+    short = spark.createDataFrame([("unc", "North Carolina")], "abbr string, meant string")
+    asked = ["Duke", "UNC", "Carolina", "ohio state university", "nc state", "Ohio State Buckeyes", "nowhere", "io"]
+    got = {r["query"]: r.team_id for r in matchup.resolved(spark.createDataFrame([(a,) for a in asked], "query string"), teams, short).collect()}
+    assert got == {"Duke": 1, "UNC": 2, "Carolina": 2, "ohio state university": 5, "nc state": 3, "Ohio State Buckeyes": 5, "nowhere": None, "io": 4}
+
+
+def test_names(spark):
+    rows = spark.createDataFrame([("UConn Huskies",), ("North Carolina Tar Heels",), ("Penn State Nittany Lions",), ("Marshall Thundering Herd",), ("Texas A&M Aggies",), ("Saint Mary's Gaels",)], "n string")
+    out = [tuple(r) for r in rows.select(names.short_name(F.col("n")), names.suggested_slug(F.col("n")), names.slug(F.col("n"))).collect()]
+    assert [o[0] for o in out] == ["UConn", "North Carolina", "Penn State", "Marshall", "Texas A&M", "Saint Mary's"]
+    assert out[2][1] == "penn-state" and out[4][1] == "texas-am" and out[5][1] == "saint-marys-gaels" and out[4][2] == "texas-a-m-aggies"
+
+
+def test_words_wrap(spark):
+    text = "one two three four five sixsixsixsixsix seven"
+    out = spark.createDataFrame([(text,)], "t string").select(matchup.wrapped(F.col("t"), 10).alias("l")).first().l
+    assert out == ["one two", "three four", "five", "sixsixsixsixsix", "seven"]
+
+
+def test_merge_leaves_existing_keys_alone(spark):
+    old, new = (spark.createDataFrame(r, "team_id long, g long") for r in ([(1, 1), (1, 2), (2, 3)], [(2, 9), (3, 4)]))
+    assert sorted(tuple(r) for r in sync.merged(old, new).collect()) == [(1, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def test_clocks_dates_and_cells(spark):
+    rows = spark.createDataFrame([("31:40", "Mon, Nov 6, 2023"), ("31:29", "Nov 6, 2023"), ("31", "soon"), ("DNP", None), (None, "Sat, Feb 30, 2023")], "m string, d string")
+    out = [tuple(r) for r in rows.select(ingest.minutes(F.col("m")), ingest.day_of(F.col("d"))).collect()]
+    assert [o[0] for o in out] == [32, 31, 31, 0, 0]
+    assert [str(o[1]) for o in out] == ["2023-11-06", "2023-11-06", "None", "None", "None"]

@@ -11,6 +11,8 @@ POSSESSION_REST = 2.12
 #: Last end year and name of each era.
 ERAS = ((1964, "Pre-Modern"), (1985, "Integration Era"), (1993, "Early Modern"), (2007, "Mid Modern"), (2015, "Late Modern"))
 ERA_REST = "Current"
+#: The same for the earlier score.
+EARLIER_ERAS = ((1985, "Pre-Shot Clock"), (1993, "Early Modern"), (2007, "Mid Modern"), (2015, "Late Modern"))
 #: Pace of each era's games, in the order of ERAS, then the rest.
 PACES = (78, 73, 70, 67, 65)
 PACE_REST = 67
@@ -63,6 +65,10 @@ def era(end_year: Column) -> Column:
     return ladder(end_year, ERAS, ERA_REST)
 
 
+def earlier_era(end_year: Column) -> Column:
+    return ladder(end_year, EARLIER_ERAS, ERA_REST)
+
+
 def pace(end_year: Column) -> Column:
     return ladder(end_year, tuple((e[0], p) for e, p in zip(ERAS, PACES, strict=True)), PACE_REST)
 
@@ -71,13 +77,13 @@ def field_size(end_year: Column) -> Column:
     return ladder(end_year, FIELDS, FIELD_REST)
 
 
-def tournament_result(text: Column) -> Column:
-    """struct(round, points) of a season's result text; null or empty means the team was not in it."""
+def tournament_result(text: Column, first_round: float | None = None) -> Column:
+    """struct(round, points) of a season's result text; null or empty means the team was not in it. `first_round`: its points, if others."""
     clean = F.replace(text, F.lit("*"), F.lit(""))
     result = lambda r, p: F.struct(F.lit(r).alias("round"), F.lit(p).alias("points"))
     out = F.when(F.coalesce(text, F.lit("")) == "", result("none", -2.0))
     for pattern, name, points in RESULTS:
-        out = out.when(clean.rlike(pattern), result(name, points))
+        out = out.when(clean.rlike(pattern), result(name, first_round if first_round is not None and name == "first_round" else points))
     return out.otherwise(result("unknown_tourney", 0.0))
 
 
@@ -93,10 +99,6 @@ def safe_z(value: Column, mean: Column, deviation: Column, cap: float | None = N
     return z if cap is None else F.when(z.isNotNull(), F.greatest(F.lit(-cap), F.least(F.lit(cap), z)))
 
 
-def slug(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
-
-
 def win_probability(oe_a: Column, de_a: Column, oe_b: Column, de_b: Column, pace_a: Column, pace_b: Column) -> Column:
     """Of the first team: possessions are the mean pace, points are offence plus the other's defence less 100."""
     points = ((oe_a + de_b - 100) - (oe_b + de_a - 100)) * ((pace_a + pace_b) / 2 / 100)

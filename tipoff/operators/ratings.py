@@ -1,4 +1,4 @@
-"""Efficiency: per-100 values of games, team means, strength of schedule, tiers, and the opponent-adjusted fixed point."""
+"""Efficiency: per-100 values of games, and for each season the opponent-adjusted fixed point with ranks, schedules and tiers."""
 
 from __future__ import annotations
 
@@ -13,52 +13,54 @@ from tipoff.functions.seasons import HOME_EDGE, possession_divisor
 #: Last opponent rank of the first three tiers, at home and elsewhere.
 TIERS_HOME, TIERS_AWAY = (50, 100, 200), (30, 75, 160)
 FEW_GAMES, DAMPING, CLOSE_ENOUGH, MOST_STEPS = 10, 0.5, 0.01, 100
+TIER_COUNTS = tuple(f"t{t}{s}" for t in (1, 2, 3, 4) for s in "wl")
+SCHEMA = "season string, team_id long, em double, oe double, de double, games long, wins long, losses long, rank int, sos double, sos_rank int, " + ", ".join(f"{c} long" for c in TIER_COUNTS) + ", steps int"
 
 
-def per_100(games: DataFrame) -> DataFrame:
-    """Games with points, with margin (less the home edge), offence and defence per 100 possessions."""
+def per_100(games: DataFrame, first: int = 0) -> DataFrame:
+    """Games with points, from the season that starts in `first` on, with margin (less the home edge), offence and defence per 100 possessions."""
     edge = F.when(F.col("loc") == "H", -HOME_EDGE).when(F.col("loc") == "A", HOME_EDGE).otherwise(0.0)
     scale = 100 / ((F.col("pts") + F.col("opp_pts")) / possession_divisor(F.col("start_year")))
-    valid = games.filter(F.col("pts") + F.col("opp_pts") > 0)
+    valid = games.filter((F.col("pts") + F.col("opp_pts") > 0) & (F.col("start_year") >= first))
     return valid.select("*", ((F.col("pts") - F.col("opp_pts") + edge) * scale).alias("margin"), (F.col("pts") * scale).alias("off"), (F.col("opp_pts") * scale).alias("def"), (F.col("pts") > F.col("opp_pts")).alias("won"))
 
 
 def team_means(rated_games: DataFrame) -> DataFrame:
-    """One row for each team and season: em, oe, de, games, wins, losses, rank."""
+    """One row for each team and season, before any adjustment: em, oe, de, games, wins, losses, rank."""
     means = rated_games.groupBy("season", "team_id").agg(F.avg("margin").alias("em"), F.avg("off").alias("oe"), F.avg("def").alias("de"), F.count("*").alias("games"), F.count_if("won").alias("wins"))
     # near ties of floating sums are ranked alike everywhere
     rank = F.row_number().over(Window.partitionBy("season").orderBy(F.desc(F.round("em", 6)), "team_id"))
     return means.select("*", (F.col("games") - F.col("wins")).alias("losses"), rank.alias("rank"))
 
 
-def schedule_strength(rated_games: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Mean rating of rated opponents (0 without any), its rank, and wins and losses in four tiers of opponents."""
-    known = ratings.select("season", F.col("team_id").alias("opp_id"), F.col("em").alias("opp_em"), F.col("rank").alias("opp_rank"))
-    met = rated_games.join(known, ["season", "opp_id"], "left")
-    step = lambda t: F.when(F.col("opp_rank") <= t[0], 1).when(F.col("opp_rank") <= t[1], 2).when(F.col("opp_rank") <= t[2], 3).when(F.col("opp_rank").isNotNull(), 4)
-    met = met.withColumn("tier", F.when(F.col("loc") == "H", step(TIERS_HOME)).otherwise(step(TIERS_AWAY)))
-    counts = [F.count_if((F.col("tier") == t) & (F.col("won") == w)).alias(f"t{t}{s}") for t in (1, 2, 3, 4) for w, s in ((True, "w"), (False, "l"))]
-    out = met.groupBy("season", "team_id").agg(F.coalesce(F.avg("opp_em"), F.lit(0.0)).alias("sos"), *counts)
-    return out.select("*", F.row_number().over(Window.partitionBy("season").orderBy(F.desc(F.round("sos", 6)), "team_id")).alias("sos_rank"))
+def _ranks(value: np.ndarray) -> np.ndarray:
+    """1 for the greatest; equal values by place."""
+    out = np.empty(len(value), np.int64)
+    out[np.argsort(-np.round(value, 6), kind="stable")] = np.arange(1, len(value) + 1)
+    return out
 
 
-def _solve(season: pd.DataFrame, steps: int | None) -> pd.DataFrame:
-    ids, team = np.unique(season["team_id"], return_inverse=True)
+def _solve(pairs: pd.DataFrame, steps: int | None) -> pd.DataFrame:
+    """pairs of one season: sums of games of a team against an opponent, at home or not."""
+    ids, team = np.unique(pairs["team_id"], return_inverse=True)
     n = len(ids)
-    games = np.bincount(team, minlength=n)
-    mean = lambda v, of=team, k=games: np.bincount(of, v, n) / np.maximum(k, 1)
-    margin, off, dfn = (season[c].to_numpy(float) for c in ("margin", "off", "def"))
-    em, oe, de = mean(margin), mean(off), mean(dfn)
+    played = pairs["n"].to_numpy(float)
+    total = lambda v, of=team: np.bincount(of, v, n)
+    games = total(played)
+    margin, off, dfn = (pairs[c].to_numpy(float) for c in ("margin", "off", "def"))
+    em, oe, de = (total(v) / games for v in (margin, off, dfn))
     league = em.mean(), oe.mean(), de.mean()
     oe, de = oe - league[1], de - league[2]
-    opp = season["opp_id"].to_numpy(float)
+    opp = pairs["opp_id"].to_numpy(float)
     place = np.searchsorted(ids, np.nan_to_num(opp, nan=-1))
     rated = ~np.isnan(opp) & (ids[np.minimum(place, n - 1)] == opp)
-    own, other, met = team[rated], place[rated], np.bincount(team[rated], minlength=n)
+    own, other, k = team[rated], place[rated], played[rated]
+    met = total(k, own)
+    mean = lambda v: total(v, own) / np.maximum(met, 1)
     w = np.where(games < FEW_GAMES, games / FEW_GAMES, 1.0)
     done = 0
     while done < (steps or MOST_STEPS):
-        new = [mean(margin[rated] + em[other], own, met), mean(off[rated] - league[1] - de[other], own, met), mean(dfn[rated] - league[2] - oe[other], own, met)]
+        new = [mean(margin[rated] + k * em[other]), mean(off[rated] - k * (league[1] + de[other])), mean(dfn[rated] - k * (league[2] + oe[other]))]
         new = [w * new[0] + (1 - w) * league[0], w * new[1], w * new[2]]
         old = (em, oe, de)
         em, oe, de = (np.where(met > 0, DAMPING * a + (1 - DAMPING) * b, b) for a, b in zip(new, old, strict=True))
@@ -69,11 +71,34 @@ def _solve(season: pd.DataFrame, steps: int | None) -> pd.DataFrame:
             break
     em, oe, de = em + league[0], oe + league[1], de + league[2]
     rest = em - (oe - de)
-    return pd.DataFrame({"season": season["season"].iloc[0], "team_id": ids, "em": em, "oe": oe + rest / 2, "de": de - rest / 2, "games": games, "steps": done})
+    rank = _ranks(em)
+    sos = mean(k * em[other])
+    home = pairs["home"].to_numpy(bool)[rated]
+    tier = np.where(home, np.searchsorted(TIERS_HOME, rank[other]), np.searchsorted(TIERS_AWAY, rank[other]))
+    won = pairs["won"].to_numpy(float)
+    counts = {f"t{t + 1}{s}": total(np.where(tier == t, won[rated] if s == "w" else k - won[rated], 0), own).astype(np.int64) for t in range(4) for s in "wl"}
+    wins = total(won)
+    return pd.DataFrame({"season": pairs["season"].iloc[0], "team_id": ids, "em": em, "oe": oe + rest / 2, "de": de - rest / 2, "games": games.astype(np.int64), "wins": wins.astype(np.int64), "losses": (games - wins).astype(np.int64), "rank": rank, "sos": sos, "sos_rank": _ranks(sos), **counts, "steps": done})
 
 
-def adjusted(rated_games: DataFrame, steps: int | None = None) -> DataFrame:
-    """The fixed point of each season (a season is a few hundred teams, so it fits a task): every team's margin, offence and defence
-    as its games show them against opponents as rated a step before; `steps` fixes their number, else it ends when no margin moves."""
-    out = rated_games.select("season", "team_id", "opp_id", "margin", "off", "def").groupBy("season").applyInPandas(lambda df: _solve(df, steps), "season string, team_id long, em double, oe double, de double, games long, steps int")
-    return out.select("*", F.row_number().over(Window.partitionBy("season").orderBy(F.desc(F.round("em", 6)), "team_id")).alias("rank"))
+def season_ratings(rated_games: DataFrame, steps: int | None = None) -> DataFrame:
+    """Per team and season: the fixed point (every team's margin, offence and defence as its games show them against opponents as rated a step
+    before), its rank, the mean rating of rated opponents with its rank (0 without any), and wins and losses in four tiers of opponents.
+
+    Games are summed by team, opponent and place before they are dealt by season, which is all that a step needs; a season's table is as
+    large as the pairs of its teams that met. `steps` fixes their number, else a season ends when no margin moves by more than CLOSE_ENOUGH.
+    """
+    sums = [F.sum(c).alias(c) for c in ("margin", "off", "def")]
+    pairs = rated_games.groupBy("season", "team_id", "opp_id", (F.col("loc") == "H").alias("home")).agg(*sums, F.count("*").alias("n"), F.count_if("won").alias("won"))
+    return pairs.groupBy("season").applyInPandas(lambda df: _solve(df, steps), SCHEMA)
+
+
+def spearman(ratings: DataFrame, outside: DataFrame, least: int = 10) -> DataFrame:
+    """Rank correlation of em with outside ratings (team_id, season, srs) for each season with `least` pairs or more."""
+    both = ratings.select("season", "team_id", "em").join(outside.select("season", "team_id", "srs").filter(F.col("srs").isNotNull()), ["season", "team_id"])
+    rank = lambda c: F.row_number().over(Window.partitionBy("season").orderBy(F.desc(F.round(c, 6)), "team_id"))
+    ranked = both.select("season", rank("em").alias("a"), rank("srs").alias("b"))
+    d = (F.col("a") - F.col("b")).cast("double")
+    n = F.col("n").cast("double")
+    out = ranked.groupBy("season").agg(F.count("*").alias("n"), F.sum(d * d).alias("d2")).filter(F.col("n") >= least)
+    return out.select("season", "n", (1 - 6 * F.col("d2") / (n * (n * n - 1))).alias("rho"))
