@@ -84,3 +84,12 @@ def test_clocks_dates_and_cells(spark):
     out = [tuple(r) for r in rows.select(ingest.minutes(F.col("m")), ingest.day_of(F.col("d"))).collect()]
     assert [o[0] for o in out] == [32, 31, 31, 0, 0]
     assert [str(o[1]) for o in out] == ["2023-11-06", "2023-11-06", "None", "None", "None"]
+
+
+def test_story_of_a_known_matchup(spark):
+    sides = {"Offense": "A", "Coaching": "A", "Defense": "B", "Pace": "B", "Talent": "B", "Clutch": "B", "HTSS": "A"}
+    row = (1, "A", 7, 1972, 2015, "UCLA Bruins", "Kentucky Wildcats", "John Wooden", "John Calipari", [(n, "", "", "", s) for n, s in sides.items()])
+    schema = "matchup int, winner string, lead int, spring_a int, spring_b int, name_a string, name_b string, coach_a string, coach_b string, factors array<struct<name:string,team_a:string,team_b:string,edge:string,side:string>>"
+    story = matchup.narrated(spark.createDataFrame([row], schema)).first().story
+    assert story.startswith("1972 UCLA's elite offense and John Wooden pedigree give them the edge in a competitive but ultimately decisive game.")
+    assert story.endswith("2015 Kentucky's suffocating defense, pace advantage, NBA-caliber talent, and close-game toughness keep it interesting, but UCLA pulls away down the stretch.")

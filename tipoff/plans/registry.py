@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Tables:
-    """Views that queries share. Each use builds the plan anew, but for the two tables with a row for each team and season, which several
+    """Views that queries share, each planned once. Plans run anew with each query, but for the two tables with a row for each team and season, which several
     branches of a score read: they are kept in memory or on executors' disks, and come from one scan of the games each."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -30,31 +30,31 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return domain.table(self.spark, self.dir, name)
 
-    @property
+    @cached_property
     def teams(self) -> DataFrame:
         return domain.teams(self.spark, self.dir)
 
-    @property
+    @cached_property
     def games(self) -> DataFrame:
         return domain.games(self.spark, self.dir)
 
-    @property
+    @cached_property
     def seasons(self) -> DataFrame:
         return domain.seasons(self.games, self.teams)
 
-    @property
+    @cached_property
     def coached(self) -> DataFrame:
         return domain.coach_seasons(self.spark, self.dir, self.seasons)
 
-    @property
+    @cached_property
     def picks(self) -> DataFrame:
         return domain.picks(self.spark, self.dir)
 
-    @property
+    @cached_property
     def rated(self) -> DataFrame:
         return ratings.per_100(self.games, domain.FIRST_RATED)
 
-    @property
+    @cached_property
     def ratings(self) -> DataFrame:
         return ratings.season_ratings(self.rated)
 
@@ -66,22 +66,22 @@ class Tables:
     def kept_ratings(self) -> DataFrame:
         return self.ratings.persist(StorageLevel.MEMORY_AND_DISK)
 
-    @property
+    @cached_property
     def tenures(self) -> DataFrame:
         return coaches.tenures(self.coached)
 
-    @property
+    @cached_property
     def careers(self) -> DataFrame:
         return coaches.careers(self.tenures)
 
-    @property
+    @cached_property
     def led(self) -> DataFrame:
         """Seasons with who coached and the prestige that brought."""
         seasons = self.kept_seasons
         tenures = coaches.tenures(seasons)
         return coaches.prestige(coaches.season_coaches(seasons, tenures), coaches.leaderboard(coaches.careers(tenures)))
 
-    @property
+    @cached_property
     def score_rows(self) -> DataFrame:
         key = ["team_id", "season"]
         rated = self.kept_ratings.select(*key, "em", "sos", score.quality_record().alias("quality_record"))
@@ -89,36 +89,36 @@ class Tables:
         zero = lambda c: F.coalesce(c, F.lit(0.0))
         return rows.withColumn("win_pct", zero("win_pct")).withColumn("draft_score", zero("draft_score")).withColumn("close_score", score.close_score()).withColumn("era", S.era(F.col("end_year")))
 
-    @property
+    @cached_property
     def scored(self) -> DataFrame:
         return score.season_scores(self.score_rows)
 
-    @property
+    @cached_property
     def earlier(self) -> DataFrame:
         return score_earlier.season_scores(self.seasons)
 
-    @property
+    @cached_property
     def ranked(self) -> DataFrame:
         """Scored seasons of enough games with their rank of all."""
         return score.ranked(lookups.qualifying(self.scored), "score", ("season", "team_id"))
 
-    @property
+    @cached_property
     def info(self) -> DataFrame:
         return lookups.team_info(self.teams, self.seasons, self.picks)
 
-    @property
+    @cached_property
     def late(self) -> DataFrame:
         return lookups.tournament_games(self.games, self.seasons)
 
-    @property
+    @cached_property
     def upsets(self) -> DataFrame:
         return lookups.upsets(self.late)
 
-    @property
+    @cached_property
     def h2h(self) -> DataFrame:
         return lookups.head_to_head(self.games)
 
-    @property
+    @cached_property
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """Records before and after a day; a part of the teams lost wins between, as a correction does."""
         pts, opp = F.col("pts"), F.col("opp_pts")
@@ -126,7 +126,7 @@ class Tables:
         new = self.games.groupBy("team_id").agg((F.count_if(pts > opp) - F.when(F.col("team_id") % 7 == 0, F.count("*")).otherwise(0)).alias("w"), F.count_if(pts < opp).alias("l"))
         return old, new
 
-    @property
+    @cached_property
     def matchups(self) -> DataFrame:
         """Ten matchups as texts: a year and a school, and a school with a season."""
         t = self.teams
@@ -135,7 +135,7 @@ class Tables:
         other = t.select(F.col("team_id").alias("other"), F.lower("school").alias("other_school"))
         return first.join(other, "other").select("matchup", "text_a", F.concat("other_school", F.lit("  "), S.season_key(1995 - F.col("matchup") * 3)).alias("text_b"))
 
-    @property
+    @cached_property
     def played(self) -> DataFrame:
         """The matchups resolved, profiled and predicted."""
         short = self.spark.createDataFrame([("s1", "Supplier 000000001")], "abbr string, meant string")
@@ -146,6 +146,12 @@ class Tables:
         return matchup.predicted(matchup.facing(both))
 
 
+    @cached_property
+    def kept_factors(self) -> DataFrame:
+        """One row for each matchup asked for."""
+        return matchup.factors(self.played).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles to `digits` places, counts as long: the same on every engine."""
     kinds = dict(df.dtypes)
@@ -264,20 +270,7 @@ add("lookup_slug_pair", lambda t: lookups.slug_pair(t.teams, "supplier-000000001
 # matchups
 add("matchup_sides", lambda t: matchup.resolved(t.matchups.select("matchup", matchup.parsed(F.col("text_b")).alias("p")).select("matchup", "p.*"), t.teams, t.spark.createDataFrame([("s1", "Supplier 000000001")], "abbr string, meant string")).select("matchup", "season", "spring", "team_id", "error"), "SELECT matchup, season_b AS season, spring_b AS spring, team_b AS team_id, NULL::VARCHAR AS error FROM sides")
 add("matchup_prediction", lambda t: t.played.select("matchup", "name_a", "name_b", "season_a", "season_b", "record_a", "record_b", "points_a", "points_b", "prob_a", "final_a", "final_b", "winner", "lead"), "SELECT matchup, name_a, name_b, season_a, season_b, record_a, record_b, points_a, points_b, prob_a, final_a, final_b, winner, lead FROM played", "points_a points_b prob_a")
-add("matchup_factors", lambda t: matchup.factors(t.played).select("matchup", F.inline("factors")), "SELECT matchup, e.name, e.team_a, e.team_b, e.edge, e.side FROM (SELECT matchup, unnest(f) AS e FROM weighed) WHERE e.name <> 'HTSS' OR e.side IS NOT NULL")
-_EDGE = "[x.name FOR x IN f IF x.side = {} AND x.name <> 'HTSS']"
-add(
-    "matchup_stories",
-    lambda t: matchup.narrated(matchup.factors(t.played)).select("matchup", "story", F.size(matchup.wrapped(F.col("story"))).alias("lines")).filter("story IS NOT NULL").select("matchup", F.when(F.col("story").startswith("This one"), "near").when(F.col("story").contains("overwhelm"), "far").otherwise("clear").alias("tone"), F.length("story").alias("size"), (F.col("lines") > 1).alias("wraps")),
-    """SELECT matchup, CASE WHEN lead >= 10 THEN 'far' WHEN lead >= 5 THEN 'clear' ELSE 'near' END AS tone, length(CASE WHEN lead >= 10 THEN w || '''s ' || wa || ' would overwhelm ' || l || ' in a convincing victory. ' || CASE WHEN len(lp) > 0 THEN l || '''s ' || la || CASE len(lp) WHEN 1 THEN ' isn''t' ELSE ' aren''t' END || ' enough to overcome the gap in overall quality.' ELSE 'The talent and efficiency gap is simply too wide to overcome.' END
-  WHEN lead >= 5 THEN w || '''s ' || wa || CASE len(wp) WHEN 1 THEN ' gives' ELSE ' give' END || ' them the edge in a competitive but ultimately decisive game. ' || CASE WHEN len(lp) > 0 THEN l || '''s ' || la || CASE len(lp) WHEN 1 THEN ' keeps' ELSE ' keep' END || ' it interesting, but ' || ws || ' pulls away down the stretch.' ELSE l || ' battles hard but can''t match ' || ws || '''s firepower.' END
-  ELSE 'This one goes down to the wire — ' || w || ' barely edges ' || l || ' in an instant classic. ' || CASE WHEN len(lp) > 0 THEN l || '''s ' || la || ' nearly ' || CASE len(lp) WHEN 1 THEN 'steals' ELSE 'steal' END || ' the game, but ' || ws || '''s ' || wa || CASE len(wp) WHEN 1 THEN ' proves' ELSE ' prove' END || ' decisive in the final minutes.' ELSE 'Both teams trade blows, but ' || ws || ' makes one more play when it matters most.' END END) AS size, true AS wraps FROM (
-  SELECT *, CASE len(wp) WHEN 0 THEN 'overall balance' WHEN 1 THEN wp[1] WHEN 2 THEN wp[1] || ' and ' || wp[2] ELSE array_to_string(wp[1:len(wp) - 1], ', ') || ', and ' || wp[len(wp)] END AS wa, CASE len(lp) WHEN 0 THEN 'overall balance' WHEN 1 THEN lp[1] WHEN 2 THEN lp[1] || ' and ' || lp[2] ELSE array_to_string(lp[1:len(lp) - 1], ', ') || ', and ' || lp[len(lp)] END AS la FROM (
-  SELECT matchup, lead, CASE winner WHEN 'A' THEN spring_a || ' ' || short_a ELSE spring_b || ' ' || short_b END AS w, CASE winner WHEN 'A' THEN spring_b || ' ' || short_b ELSE spring_a || ' ' || short_a END AS l, CASE winner WHEN 'A' THEN short_a ELSE short_b END AS ws,
-    [CASE x WHEN 'Offense' THEN 'elite offense' WHEN 'Defense' THEN 'suffocating defense' WHEN 'Pace' THEN 'pace advantage' WHEN 'Talent' THEN 'NBA-caliber talent' WHEN 'Clutch' THEN 'close-game toughness' ELSE coalesce(CASE winner WHEN 'A' THEN coach_a ELSE coach_b END, 'coaching') || ' pedigree' END FOR x IN mine] AS wp,
-    [CASE x WHEN 'Offense' THEN 'elite offense' WHEN 'Defense' THEN 'suffocating defense' WHEN 'Pace' THEN 'pace advantage' WHEN 'Talent' THEN 'NBA-caliber talent' WHEN 'Clutch' THEN 'close-game toughness' ELSE coalesce(CASE winner WHEN 'A' THEN coach_b ELSE coach_a END, 'coaching') || ' pedigree' END FOR x IN theirs] AS lp
-  FROM (SELECT *, """ + _EDGE.format("winner") + " AS mine, " + _EDGE.format("CASE winner WHEN 'A' THEN 'B' ELSE 'A' END") + f""" AS theirs, CASE WHEN regexp_matches(name_a, ' ({names.MASCOTS})$') THEN regexp_replace(name_a, ' ({names.MASCOTS})$', '') ELSE split_part(name_a, ' ', 1) END AS short_a, CASE WHEN regexp_matches(name_b, ' ({names.MASCOTS})$') THEN regexp_replace(name_b, ' ({names.MASCOTS})$', '') ELSE split_part(name_b, ' ', 1) END AS short_b FROM weighed WHERE winner IS NOT NULL)))""",
-)
+add("matchup_factors", lambda t: t.kept_factors.select("matchup", F.inline("factors")), "SELECT matchup, e.name, e.team_a, e.team_b, e.edge, e.side FROM (SELECT matchup, unnest(f) AS e FROM weighed) WHERE e.name <> 'HTSS' OR e.side IS NOT NULL")
 add("short_names", lambda t: t.teams.select("team_id", names.short_name(F.col("name")).alias("short"), names.school_name(F.col("name"), F.col("mascot")).alias("school"), names.suggested_slug(F.col("name")).alias("guess"), names.title_of_slug(F.col("slug")).alias("title")), f"SELECT team_id, CASE WHEN regexp_matches(name, ' ({names.MASCOTS})$') THEN regexp_replace(name, ' ({names.MASCOTS})$', '') ELSE split_part(name, ' ', 1) END AS short, school, CASE WHEN mascot IN ('Wildcats', 'Tar Heels', 'Jayhawks', 'Bruins') THEN replace(lower(school), ' ', '-') ELSE replace(lower(name), ' ', '-') END AS guess, array_to_string([upper(x[1]) || x[2:] FOR x IN string_split(slug, '-')], ' ') AS title FROM v_teams")
 
 # sync, quality, sets
