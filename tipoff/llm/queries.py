@@ -75,8 +75,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.conversations import damaged, repair_report
+
+    rows = read(spark, sf_dir, "conversations")
+    return repair_report(rows, damaged(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_best_fit_packing, op2_substring_dedup, op3_quality_classifier, op4_html_extraction, op5_media_columns, op6_toxicity, op7_suffix_array_dedup, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_token_counts)
+    each = (op1_best_fit_packing, op2_substring_dedup, op3_quality_classifier, op4_html_extraction, op5_media_columns, op6_toxicity, op7_suffix_array_dedup, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_token_counts, op11_conversation_repair)
     return {f.__name__: f for f in each}
 
 
