@@ -88,8 +88,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(read(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.llm.ngram_join import ngram_components
+
+    return ngram_components(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_best_fit_packing, op2_substring_dedup, op3_quality_classifier, op4_html_extraction, op5_media_columns, op6_toxicity, op7_suffix_array_dedup, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_token_counts, op11_conversation_repair, op12_merkle_manifest)
+    each = (op1_best_fit_packing, op2_substring_dedup, op3_quality_classifier, op4_html_extraction, op5_media_columns, op6_toxicity, op7_suffix_array_dedup, op8_benchmark_decontamination, op9_minhash_near_dedup, op10_token_counts, op11_conversation_repair, op12_merkle_manifest, op13_ngram_jaccard_join)
     return {f.__name__: f for f in each}
 
 
