@@ -7,8 +7,9 @@ named by a 128-bit digest of itself and the SYNC bytes before it. Of a chunk tha
 (the earliest there) stays; runs of the others are extended byte by byte, on both sides, as far as they agree with the text around that
 occurrence (CONTEXT bytes hold all of it), and go where they then have at least `least_run` bytes. No word or character is split.
 
-Null texts count as empty: they have no chunks and come back empty. Repeated rows of one id count as one document's further chunks only
-if their texts differ. Texts of any length are cut whole. Extra columns come back untouched inside `row`.
+A document is an id and a text: texts of one id are told apart by a hash, and of these the one of the lower hash counts as the earlier.
+Rows of one id and one text are one document, cut alike. Null texts count as empty: they have no chunks and come back empty. Texts of any
+length are cut whole. An empty table gives an empty result. Extra columns come back untouched inside `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,26 +71,27 @@ def cuts(raw: bytes) -> list[int]:
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """(id, text) -> id, at (byte where the chunk starts), n (its bytes), a and b (its digest)."""
+    """(id, t, text) -> id, t, at (byte where the chunk starts), n (its bytes), a and b (its digest)."""
 
     def make():
         def step(batch):
-            ids, at, size, names, texts = [], [], [], [], batch.column(1).to_pylist()
-            for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                raw, start = (t or "").encode(), 0
+            row, at, size, names = [], [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                raw, start = (text or "").encode(), 0
                 for end in cuts(raw):
                     before = min(start, SYNC)
                     names.append(hashlib.blake2b(b"%d " % before + raw[start - before : end], digest_size=16).digest())
                     at.append(start)
                     size.append(end - start)
-                    ids.append(i)
+                    row.append(k)
                     start = end
             name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(size, pa.int32()), pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1]))], ["id", "at", "n", "a", "b"])
+            keys = [batch.column(k).take(pa.array(row, pa.int64())) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int64()), pa.array(size, pa.int32()), pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1]))], ["id", "t", "at", "n", "a", "b"])
 
         return step
 
-    return map_batches(docs, make, "id long, at long, n int, a long, b long")
+    return map_batches(docs, make, "id long, t long, at long, n int, a long, b long")
 
 
 def _alike(x: bytes, y: bytes) -> int:
@@ -126,8 +128,8 @@ def kept_text(text: str | None, repeated: list[dict] | None, least_run: int = LE
     raw = (text or "").encode()
     if not repeated:
         return text or "", 0, 0
-    edges, runs = {0, *cuts(raw)}, []
-    for a, b in sorted(extended(raw, r["start"], r["end"], r["before"], r["after"]) for r in repeated if r["start"] in edges and r["end"] in edges):
+    runs = []
+    for a, b in sorted(extended(raw, r["start"], r["end"], r["before"], r["after"]) for r in repeated):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(b, runs[-1][1])
         else:
@@ -140,75 +142,82 @@ def kept_text(text: str | None, repeated: list[dict] | None, least_run: int = LE
     return b"".join([*parts, raw[last:]]).decode(), sum(b - a for a, b in runs), len(runs)
 
 
+_RUN = ("id", "t", "start", "end", "left_id", "left_t", "left_at", "right_id", "right_t", "right_at")
+
+
 def _runs(later: DataFrame) -> DataFrame:
-    """(id, chunks (at, n, first_id, first_at)) -> its runs of adjoining chunks, and where their ends stand first."""
+    """(id, t, chunks (at, n, first: id, t, at)) -> its runs of adjoining chunks, and where their ends stand first."""
 
     def make():
         def step(batch):
             out = []
-            for i, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 runs: list[list] = []
                 for c in sorted(found, key=lambda c: (c["at"], c["n"])):
-                    at, end, place = c["at"], c["at"] + c["n"], (c["first_id"], c["first_at"] + c["n"])
-                    if runs and runs[-1][2] == at:
-                        runs[-1][2], runs[-1][5:] = end, place
+                    first, at, end = c["first"], c["at"], c["at"] + c["n"]
+                    place = (first["id"], first["t"], first["at"] + c["n"])
+                    if runs and runs[-1][3] == at:
+                        runs[-1][3], runs[-1][7:] = end, place
                     else:
-                        runs.append([i, at, end, c["first_id"], c["first_at"], *place])
+                        runs.append([i, t, at, end, first["id"], first["t"], first["at"], *place])
                 out += runs
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "start", "end", "left_id", "left_at", "right_id", "right_at"])
+            columns = list(zip(*out, strict=True)) or [[]] * len(_RUN)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(_RUN))
 
         return step
 
-    return map_batches(later, make, "id long, start long, end long, left_id long, left_at long, right_id long, right_at long")
+    return map_batches(later, make, ", ".join(f"{c} long" for c in _RUN))
 
 
 def _contexts(asked: DataFrame) -> DataFrame:
-    """(id, row, text, places (at, after)) -> id, at, after, context: the CONTEXT bytes after or before each place."""
+    """(id, t, row, text, places (at, after)) -> id, t, at, after, context: the CONTEXT bytes after or before each place."""
 
     def make():
         def step(batch):
-            ids, at, after, context = [], [], [], []
-            for i, t, places in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            row, at, after, context = [], [], [], []
+            for k, (text, places) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 if places:
-                    raw = (t or "").encode()
+                    raw = (text or "").encode()
                     for p in places:
                         x = p["at"]
-                        ids.append(i)
+                        row.append(k)
                         at.append(x)
                         after.append(p["after"])
                         context.append(raw[x : x + CONTEXT] if p["after"] else raw[max(0, x - CONTEXT) : x])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(after, pa.bool_()), pa.array(context, pa.binary())], ["id", "at", "after", "context"])
+            keys = [batch.column(k).take(pa.array(row, pa.int64())) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int64()), pa.array(after, pa.bool_()), pa.array(context, pa.binary())], ["id", "t", "at", "after", "context"])
 
         return step
 
-    return map_batches(asked, make, "id long, at long, after boolean, context binary")
+    return map_batches(asked, make, "id long, t long, at long, after boolean, context binary")
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
-    """(id, row, text) -> id, runs: the runs of chunks that stand elsewhere, or earlier in the document, first, and what is around that place."""
-    chunks = written(_chunks(rows.select("id", "text").filter(F.col("id").isNotNull())), "chunks")
-    first = chunks.groupBy("a", "b").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last")).filter(F.col("first") < F.col("last"))
+    """(id, t, row, text) -> id, t, runs: the runs of chunks that stand elsewhere, or earlier in the document, first, and what is around that place."""
+    chunks = written(_chunks(rows.select("id", "t", "text").filter(F.col("id").isNotNull())), "chunks")
+    place = F.struct("id", "t", "at")
+    first = chunks.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") < F.col("last"))
     # a merge join whatever the size: its skewed partitions are split, and the table of repeats grows with the corpus
-    later = chunks.hint("merge").join(first.select("a", "b", "first"), ["a", "b"]).filter(F.struct("id", "at") > F.col("first"))
-    found = later.select("id", F.struct("at", "n", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at")).alias("chunk"))
-    runs = written(_runs(found.groupBy("id").agg(F.collect_set("chunk").alias("chunks"))), "chunk-runs")
-    sides = (F.struct(F.col("left_id").alias("f"), F.col("left_at").alias("at"), F.lit(False).alias("after")), F.struct(F.col("right_id").alias("f"), F.col("right_at").alias("at"), F.lit(True).alias("after")))
-    wanted = runs.select("id", "start", "end", F.explode(F.array(*sides)).alias("side")).select("id", "start", "end", "side.*")
-    places = wanted.select("f", "at", "after").distinct().groupBy(F.col("f").alias("id")).agg(F.collect_list(F.struct("at", "after")).alias("places"))
+    later = chunks.hint("merge").join(first.select("a", "b", "first"), ["a", "b"]).filter(place > F.col("first"))
+    found = later.select("id", "t", F.struct("at", "n", "first").alias("chunk"))
+    runs = written(_runs(found.groupBy("id", "t").agg(F.collect_set("chunk").alias("chunks"))), "chunk-runs")
+    side = lambda s, after: F.struct(F.col(f"{s}_id").alias("f"), F.col(f"{s}_t").alias("ft"), F.col(f"{s}_at").alias("at"), F.lit(after).alias("after"))
+    wanted = runs.select("id", "t", "start", "end", F.explode(F.array(side("left", False), side("right", True))).alias("side")).select("id", "t", "start", "end", "side.*")
+    places = wanted.select("f", "ft", "at", "after").distinct().groupBy(F.col("f").alias("id"), F.col("ft").alias("t")).agg(F.collect_list(F.struct("at", "after")).alias("places"))
     # the left join of whole rows shares its exchange with deduplicated(), so texts are dealt out once
-    context = _contexts(rows.hint("merge").join(places, "id", "left").select("id", "row", "text", "places")).withColumnRenamed("id", "f")
-    known = wanted.hint("merge").join(context, ["f", "at", "after"])
-    whole = known.groupBy("id", "start", "end").agg(F.max(F.when(~F.col("after"), F.col("context"))).alias("before"), F.max(F.when(F.col("after"), F.col("context"))).alias("after"))
-    return whole.groupBy("id").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("runs"))
+    context = _contexts(rows.hint("merge").join(places, ["id", "t"], "left").select("id", "t", "row", "text", "places")).withColumnsRenamed({"id": "f", "t": "ft"})
+    known = wanted.hint("merge").join(context, ["f", "ft", "at", "after"])
+    whole = known.groupBy("id", "t", "start", "end").agg(F.max(F.when(~F.col("after"), F.col("context"))).alias("before"), F.max(F.when(F.col("after"), F.col("context"))).alias("after"))
+    return whole.groupBy("id", "t").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("runs"))
 
 
 def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: row (a struct of all its columns but the text, whatever their names), text (what stays), n_removed bytes, n_spans
     and n_bytes before. Rows of a null id keep their text."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*others).alias("row"), F.col(text_col).alias("text"))
-    joined = rows.hint("merge").join(repeated_runs(rows), "id", "left").select("row", "text", "runs")
+    # t tells the texts of one id apart
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.struct(*others).alias("row"), F.col(text_col).alias("text"))
+    joined = rows.hint("merge").join(repeated_runs(rows), ["id", "t"], "left").select("row", "text", "runs")
 
     def make():
         def step(batch):
