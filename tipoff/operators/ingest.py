@@ -180,10 +180,14 @@ def current_records(docs: DataFrame) -> DataFrame:
 
 
 def game_logs(files: DataFrame) -> DataFrame:
-    """files (file, value: a json object of teams by id) -> games of all files. A team is a list of games or an object with such a list."""
-    each = files.select("file", F.explode(F.from_json("value", "map<string,string>")).alias("team_id", "entry"))
-    games = F.when(F.col("entry").startswith("["), F.from_json("entry", f"array<{GAME}>")).otherwise(F.from_json("entry", f"struct<games:array<{GAME}>>")["games"])
-    rows = each.filter(F.col("team_id") != "_metadata").select("file", F.col("team_id").cast("long").alias("team_id"), F.explode(games).alias("g"))
+    """files (file, value: a json object of teams by id) -> games of all files. A file is one text here; logs_of() takes files of any size."""
+    return logs_of(files.select("file", F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")))
+
+
+def logs_of(entries: DataFrame) -> DataFrame:
+    """entries (file, key: team, value: json) -> their games. A team is a list of games or an object with such a list."""
+    games = F.when(F.col("value").startswith("["), F.from_json("value", f"array<{GAME}>")).otherwise(F.from_json("value", f"struct<games:array<{GAME}>>")["games"])
+    rows = entries.filter(F.col("key") != "_metadata").select("file", F.col("key").cast("long").alias("team_id"), F.explode(games).alias("g"))
     return rows.select("file", "team_id", F.col("g.date").cast("date").alias("game_date"), F.col("g.opp").cast("long").alias("opp"), F.col("g.loc").alias("loc"), F.col("g.w").alias("w"), F.col("g.pts").alias("pts"), F.col("g.opp_pts").alias("opp_pts"))
 
 

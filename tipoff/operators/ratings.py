@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tipoff.functions.seasons import HOME_EDGE, possession_divisor
+from tipoff.sources.staged import removed, shared_path, staged
 
 #: Last opponent rank of the first three tiers, at home and elsewhere.
 TIERS_HOME, TIERS_AWAY = (50, 100, 200), (30, 75, 160)
@@ -93,6 +94,65 @@ def season_ratings(rated_games: DataFrame, steps: int | None = None) -> DataFram
     return pairs.groupBy("season").applyInPandas(lambda df: _solve(df, steps), SCHEMA)
 
 
+def season_ratings_by_tables(rated_games: DataFrame) -> DataFrame:
+    """season_ratings() for seasons (or other groups) whose pairs do not fit into a task: the same columns, by joins and groupings.
+
+    A step is a join of the pairs with the ratings of the step before, a sum by team, and means by season. Each step is a written table, which
+    cuts the lineage; the one before it is removed. Seasons whose ratings have settled leave it for a table of their own, so later steps carry
+    only what still moves. Choose season_ratings() where a season's pairs fit into a task: it takes one shuffle, this takes three a step.
+    """
+    spark = rated_games.sparkSession
+    sums = [F.sum(c).alias(c) for c in ("margin", "off", "def")]
+    pairs = staged(rated_games.groupBy("season", "team_id", "opp_id", (F.col("loc") == "H").alias("home")).agg(*sums, F.count("*").alias("n"), F.count_if("won").alias("won")), "rating-pairs")
+    mean = lambda c: (F.sum(c) / F.sum("n")).alias(c)
+    means = pairs.groupBy("season", "team_id").agg(mean("margin"), mean("off"), mean("def"), F.sum("n").alias("games"), F.sum("won").alias("wins"))
+    league = means.groupBy("season").agg(F.avg("margin").alias("league_em"), F.avg("off").alias("league_oe"), F.avg("def").alias("league_de"))
+    teams = staged(means.join(league, "season"), "rating-teams")
+    other = teams.select("season", F.col("team_id").alias("opp_id"))
+    met = pairs.join(other, ["season", "opp_id"])
+    links = staged(met.groupBy("season", "team_id", "opp_id").agg(*sums, F.sum("n").alias("n")), "rating-links")
+
+    weight = F.when(F.col("games") < FEW_GAMES, F.col("games") / FEW_GAMES).otherwise(1.0).alias("w")
+    leagues = ("league_em", "league_oe", "league_de")
+    now = teams.select("season", "team_id", F.col("margin").alias("em"), (F.col("off") - F.col("league_oe")).alias("oe"), (F.col("def") - F.col("league_de")).alias("de"), weight, *leagues)
+    settled, path = shared_path(spark, "rating-settled"), None
+    for step in range(1, MOST_STEPS + 1):
+        rated = now.select("season", F.col("team_id").alias("opp_id"), F.col("em").alias("x"), F.col("oe").alias("y"), F.col("de").alias("z"), *leagues)
+        n = F.col("n")
+        total = links.join(rated, ["season", "opp_id"]).groupBy("season", "team_id").agg(
+            F.sum("n").alias("met"), F.sum(F.col("margin") + n * F.col("x")).alias("e"), F.sum(F.col("off") - n * (F.col("league_oe") + F.col("z"))).alias("o"), F.sum(F.col("def") - n * (F.col("league_de") + F.col("y"))).alias("d")
+        )
+        damped = lambda new, old: F.when(F.col("met") > 0, DAMPING * new + (1 - DAMPING) * F.col(old)).otherwise(F.col(old)).alias(old)
+        w, met_ = F.col("w"), F.col("met")
+        moved = now.join(total, ["season", "team_id"], "left").select("season", "team_id", F.col("em").alias("was"), damped(w * F.col("e") / met_ + (1 - w) * F.col("league_em"), "em"), damped(w * F.col("o") / met_, "oe"), damped(w * F.col("d") / met_, "de"), "w", *leagues)
+        centre = moved.groupBy("season").agg(F.avg("em").alias("em0"), F.avg("oe").alias("oe0"), F.avg("de").alias("de0"), F.max(F.abs(F.col("em") - F.col("was"))).alias("moved"))
+        new = moved.join(centre, "season").select("season", "team_id", *((F.col(c) - F.col(f"{c}0")).alias(c) for c in ("em", "oe", "de")), "w", *leagues, "moved")
+        old, path = path, shared_path(spark, "rating-step")
+        new.write.parquet(path)
+        new = spark.read.schema(new.schema).parquet(path)
+        if old is not None:
+            removed(spark, old)
+        ends = (F.col("moved") <= CLOSE_ENOUGH) | F.lit(step == MOST_STEPS)
+        new.filter(ends).withColumn("steps", F.lit(step)).write.mode("append").parquet(settled)
+        now = new.filter(~ends).drop("moved")
+        if now.isEmpty():
+            break
+    removed(spark, path)
+    done = spark.read.parquet(settled).join(teams.select("season", "team_id", "games", "wins"), ["season", "team_id"])
+    em, oe, de = F.col("em") + F.col("league_em"), F.col("oe") + F.col("league_oe"), F.col("de") + F.col("league_de")
+    rest = (em - (oe - de)) / 2
+    ranked = lambda c: F.row_number().over(Window.partitionBy("season").orderBy(F.desc(F.round(c, 6)), "team_id"))
+    final = done.select("season", "team_id", em.alias("em"), (oe + rest).alias("oe"), (de - rest).alias("de"), "games", "wins", (F.col("games") - F.col("wins")).alias("losses"), "steps").withColumn("rank", ranked("em"))
+    final = staged(final, "rating-final")
+    faced = met.join(final.select("season", F.col("team_id").alias("opp_id"), F.col("em").alias("x"), F.col("rank").alias("place")), ["season", "opp_id"])
+    tier = lambda ranks: F.size(F.filter(F.array(*map(F.lit, ranks)), lambda r: r < F.col("place")))
+    faced = faced.withColumn("tier", F.when(F.col("home"), tier(TIERS_HOME)).otherwise(tier(TIERS_AWAY)))
+    counts = [F.coalesce(F.sum(F.when(F.col("tier") == int(c[1]) - 1, F.col("won") if c[2] == "w" else F.col("n") - F.col("won"))), F.lit(0)).alias(c) for c in TIER_COUNTS]
+    strength = faced.groupBy("season", "team_id").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("sos"), *counts)
+    out = final.join(strength, ["season", "team_id"], "left").na.fill(0, ["sos", *TIER_COUNTS])
+    return out.withColumn("sos_rank", ranked("sos")).select("season", "team_id", "em", "oe", "de", "games", "wins", "losses", "rank", "sos", "sos_rank", *TIER_COUNTS, "steps")
+
+
 def spearman(ratings: DataFrame, outside: DataFrame, least: int = 10) -> DataFrame:
     """Rank correlation of em with outside ratings (team_id, season, srs) for each season with `least` pairs or more."""
     both = ratings.select("season", "team_id", "em").join(outside.select("season", "team_id", "srs").filter(F.col("srs").isNotNull()), ["season", "team_id"])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tipoff.sources import store
+
 #: Conferences whose members are majors.
 MAJORS = ("ACC", "SEC", "Big Ten", "Big 12", "Big East", "Pac-12", "AAC", "WCC", "MWC", "American")
 
@@ -90,14 +92,40 @@ def with_overrides(rows: DataFrame, protected: DataFrame, column: str) -> DataFr
 
 
 def merged(existing: DataFrame, new: DataFrame, key: str = "team_id") -> DataFrame:
-    """Rows of new keys are added, rows of keys that exist are left alone. Raises where the counts of existing keys do not come out as before,
-    which a reader of the result sees as a failed job."""
-    fresh = new.join(existing.select(key).distinct(), key, "left_anti")
-    before = existing.groupBy(key).agg(F.count("*").alias("_before"))
-    out = existing.unionByName(fresh)
-    counted = out.withColumn("_now", F.count("*").over(Window.partitionBy(key))).join(before, key, "left")
-    wrong = F.col("_before").isNotNull() & (F.col("_before") != F.col("_now"))
-    return counted.filter(F.when(wrong, F.raise_error(F.lit("rows of an existing key changed")).cast("boolean")).otherwise(True)).drop("_now", "_before")
+    """Rows of new keys are added, rows of keys that exist are left alone."""
+    return existing.unionByName(new.join(existing.select(key).distinct(), key, "left_anti"))
+
+
+def merge_into(root: str, new: DataFrame, key: str = "team_id") -> dict:
+    """merged() into the snapshot at `root`, published only if as many rows of existing keys were written as there were before: both are
+    counts of a whole side, no window over a key's rows."""
+    before = store.snapshot(new.sparkSession, root, new.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    rows = before.withColumn("_old", F.lit(True)).unionByName(new.join(before.select(key).distinct(), key, "left_anti").withColumn("_old", F.lit(False)))
+
+    def audit(seen: dict, last: dict | None) -> str | None:
+        kept = 0 if last is None else last["observed"]["rows"]
+        return None if seen["old"] == kept else f"{seen['old']} rows of existing keys, {kept} before"
+
+    return store.publish(rows, root, audit, {"old": F.count_if("_old")}, drop=("_old",))
+
+
+def synced(root: str, new: DataFrame) -> DataFrame:
+    """Publishes new records (team_id, w, l) and gives the deltas against those before. The first run stores a baseline and has none. Records
+    with fewer teams than before, a null or repeated team are not published."""
+    spark, schema = new.sparkSession, "team_id bigint, w bigint, l bigint"
+    before = store.manifest(spark, root)
+    old = store.snapshot(spark, root, schema)
+
+    def audit(seen: dict, last: dict | None) -> str | None:
+        if seen["unnamed"] or seen["rows"] != new.select("team_id").distinct().count():
+            return "teams are null or repeated"
+        if last is not None and seen["rows"] < last["observed"]["rows"]:
+            return f"{seen['rows']} teams, {last['observed']['rows']} before"
+        return None
+
+    now = store.publish(new.select(*(F.col(c).cast("long").alias(c) for c in ("team_id", "w", "l"))), root, audit, {"unnamed": F.count_if(F.col("team_id").isNull())})
+    fresh = store.snapshot(spark, root, schema, now["number"])
+    return deltas(old, fresh) if before is not None else deltas(fresh.limit(0), fresh)
 
 
 def kept_last(rows: DataFrame, key: tuple[str, ...], order: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tipoff.functions import names
 from tipoff.functions import seasons as S
 from tipoff.operators import coaches, ingest, lookups, matchup, ratings, score, score_earlier, sync
+from tipoff.plans import stores
 from tipoff.plans.sql import _up, oracle
 from tipoff.sources import domain, files, render
 from tipoff.streaming.limiter import limited
@@ -340,6 +341,9 @@ _WALK = """ordered AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITIO
 walk AS (SELECT user_id, event_id, k, ts AS opened, 1 AS n FROM ordered WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN o.ts - w.opened > INTERVAL 86400 SECOND THEN o.ts ELSE w.opened END, CASE WHEN o.ts - w.opened > INTERVAL 86400 SECOND THEN 1 ELSE w.n + 1 END FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.k = w.k + 1)"""
 
 
+stores.register(add)
+
+
 def _run(build: Callable[[Tables], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(build(Tables(spark, sf_dir)))
 

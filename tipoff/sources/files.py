@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tipoff.sources import keyed
+
 QUADS = "rank int, team string, q1w int, q1l int, q2w int, q2l int, q3w int, q3l int, q4w int, q4l int"
 
 
@@ -25,8 +27,8 @@ def whole_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def keyed_json(spark: SparkSession, path: str, entry: str) -> DataFrame:
     """A json object of records by id -> id and the record's fields by the schema `entry`; what does not fit is null."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,struct<{entry}>>")).alias("id", "r"))
-    return rows.filter(F.col("id") != "_metadata").select("id", "r.*")
+    rows = keyed.entries(spark, [path]).filter(F.col("key") != "_metadata")
+    return rows.select(F.col("key").alias("id"), F.from_json("value", entry).alias("r")).select("id", "r.*")
 
 
 def quads(spark: SparkSession, path: str) -> DataFrame:
