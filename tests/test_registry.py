@@ -36,17 +36,41 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_limiter_streams_as_in_batch(spark, tmp_path):
-    """Two files, one a batch: the state of a key goes on from the first to the second."""
-    at = dt.datetime(2024, 1, 1)
-    rows = [(k % 3, k, at + dt.timedelta(seconds=20 * k)) for k in range(60)]
+    """Files out of order inside the delay, one a batch: the stream allows what the batch form does, and once the watermark has passed all
+    windows only the last file's own event is left in the state."""
+    import random
+
+    at, rng = dt.datetime(2024, 1, 1), random.Random(1)
+    rows = [(k % 3, k, at + dt.timedelta(seconds=20 * k)) for k in range(240)] + [(7, 1000 + k, at + dt.timedelta(seconds=40 * (k // 4))) for k in range(80)]
+    rows.sort(key=lambda r: r[2] + dt.timedelta(seconds=rng.randint(0, 500)))
+    last = (99, 5000, at + dt.timedelta(hours=9))
     schema = "user_id long, event_id long, ts timestamp"
-    for part in (rows[:30], rows[30:]):
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query, states = None, []
+    for part in (rows[:100], rows[100:200], rows[200:], [last]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = limited_stream(stream, most=4, seconds=300).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+        query = limited_stream(source, most=4, seconds=300).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        states += [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
     batch = limited(spark.createDataFrame(rows, schema), most=4, seconds=300)
-    assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+    assert max(states) > 5 and states[-1] <= 3, states
+
+
+def test_limiter_against_a_walk(spark):
+    import random
+
+    rng, at = random.Random(2), dt.datetime(2024, 1, 1)
+    rows = [(rng.choice([None, 1, 2, 3]), k, at + dt.timedelta(seconds=rng.randint(0, 4000) // 5 * 5) if k % 50 else None) for k in range(2000)]
+    want, state = [], {}
+    for user, event, ts in sorted((r for r in rows if None not in r), key=lambda r: (r[0], r[2], r[1])):
+        opened, n = state.get(user, (None, 0))
+        opened, n = (ts, 1) if opened is None or (ts - opened).total_seconds() > 300 else (opened, n + 1)
+        state[user] = opened, n
+        want.append((user, event, n <= 20))
+    got = limited(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp"), most=20, seconds=300)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_files_in_and_out(spark, tmp_path):
