@@ -3,13 +3,13 @@
 1. Texts with the same set are one class; one text stands for it.
 2. Shingles have one global order: those of the zone (a fixed share of all hashes) by how many classes hold them, rarest first, then the rest
    by hash. Two sets that link must share one of their first `n - ceil(percent * n / 100) + 1` shingles, so only classes that share such a
-   shingle, with sizes that fit, can meet. Classes that may meet are chained by size, an edge less than there are members.
+   shingle, with sizes that fit, can meet. Of the holders of a shingle, those that follow each other by size and fit are one part: a star.
 3. Each connected part of these is joined by a trie of its sets, most common shingles first, so that like sets share their beginnings. A probe
    walks the trie once: the overlap up to a node holds for all sets under it, and a subtree is left where even all that remains of
    the probe or of the subtree's sets could not lift the overlap to the threshold, where sizes do not fit, and where all of it is in the
    probe's component already.
 4. A part too large for one task is dealt into blocks twice, by two hashes, and the links found there give labels. Only shingles whose
-   holders still have different labels count from then on; their holders are chained anew and compared, all pairs of blocks. So no pair of
+   holders still have different labels count from then on; their holders are parted anew and compared, all pairs of blocks. So no pair of
    different texts is left out, copies and groups of near copies are not expanded into pairs, and no task holds more than two blocks.
 
 Sets are told by 128 bits, shingles by 64. Null texts and texts without words have an empty set and link with nothing. Texts are taken whole.
@@ -156,19 +156,21 @@ def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
     shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
     # beyond the zone (or below 0, as hashes are unsigned) the order is that of the hashes, and few are listed: all of them count
     beyond = (F.col("token") < 0) | (F.col("token") >= ZONE)
-    own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(beyond.alias("beyond"), "df", "token"))).alias("shared"))
+    own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(beyond.alias("beyond"), "df", "token"))).alias("shared"), F.count_if(~beyond).cast("int").alias("zoned"))
     both = own.join(reps.select("id", F.col("n_shingles").alias("n"), "zone"), "id")
-    zoned = F.size(F.filter("shared", lambda x: ~x["beyond"]))
-    first = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
-    kept = F.filter("shared", lambda x, k: x["beyond"] | (k < first - (F.col("zone") - zoned)))
-    return both.select("id", "n", F.explode(F.transform(kept, lambda x: x["token"])).alias("token"))
+    # shingles of the zone that no other set holds come first and take their places
+    room = F.expr(f"cast(greatest(least(n - (n * {percent} + 99) div 100 + 1 - (zone - zoned), zoned), 0) as int)")
+    kept = F.concat(F.slice("shared", F.lit(1), room), F.slice("shared", F.col("zoned") + 1, F.size("shared")))
+    return both.select("id", "n", F.explode(kept).alias("x")).select("id", "n", "x.token")
 
 
-def _chained(held: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n) -> edges (a, b) between holders of a shingle that follow each other by size and fit."""
+def _met(held: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n) -> edges (a, b) from each holder of a shingle to the least of those that it reaches by steps of sizes that fit."""
     by_size = Window.partitionBy("token").orderBy("n", "id")
-    rows = held.select("id", "n", F.lag("id").over(by_size).alias("before"), F.lag("n").over(by_size).alias("m"))
-    return rows.filter(F.col("m") * 100 >= F.col("n") * percent).select(F.col("id").alias("a"), F.col("before").alias("b"))
+    apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
+    rows = held.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(by_size))
+    least = F.min("id").over(Window.partitionBy("token", "island"))
+    return rows.select(F.col("id").alias("a"), least.alias("b")).filter("a <> b")
 
 
 def _parts(edges: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
@@ -231,7 +233,7 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
     """(a, b): links between ids of `reps` that join all that are linked."""
     held = written(_prefixes(reps, percent), "ngram-prefixes")
     sizes = reps.select("id", F.col("n_shingles").alias("n"))
-    parts = _parts(_chained(held, percent), sizes, "ngram-coarse")
+    parts = _parts(_met(held, percent), sizes, "ngram-coarse")
     # a merge join whatever the size: the parts grow with the corpus and must not be broadcast
     sets = written(_with_sets(parts.hint("merge").join(texts, "id").select("id", "part", "blocks", "text"), width).distinct(), "ngram-sets")
     deals = F.when(F.col("blocks") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
@@ -244,7 +246,9 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
     known = written(held.hint("merge").join(label, "id"), "ngram-known")
     open_tokens = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
     rest = written(known.hint("merge").join(open_tokens, "token", "left_semi"), "ngram-open")
-    again = _parts(_chained(rest, percent), sizes, "ngram-again")
+    if rest.isEmpty():
+        return found
+    again = _parts(_met(rest, percent), sizes, "ngram-again")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     labelled = sets.select("id", "shingles").hint("merge").join(again.join(label, "id"), "id").withColumn("block", F.expr("pmod(xxhash64(id, 3), blocks)"))
     pairs = labelled.select("*", other).select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", "shingles")
