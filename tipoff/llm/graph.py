@@ -5,21 +5,20 @@ written table, and the one before it is removed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import removed, written_at
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (u, v), u > v: each node hands its neighbours (large: those above it; small: those below and itself) to the least of them."""
+    """One star step on edges (u, v), u > v: each node hands its neighbours (large: those above it; small: those below and itself) to the least
+    of them, which is the first of its rows in order: one exchange a step, and no node's rows are gathered."""
+    least = F.first("v").over(Window.partitionBy("u").orderBy("v"))
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        return both.withColumn("m", F.least("u", least)).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = edges.withColumn("m", least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
