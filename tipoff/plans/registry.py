@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, partial
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +15,15 @@ from tipoff.operators import coaches, ingest, lookups, matchup, ratings, score,
 from tipoff.plans import stores
 from tipoff.plans.sql import _up, oracle
 from tipoff.sources import domain, files, render
+from tipoff.sources.staged import staged
 from tipoff.streaming.limiter import limited
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Tables:
-    """Views that queries share, each planned once. Plans run anew with each query, but for the two tables with a row for each team and season, which several
-    branches of a score read: they are kept in memory or on executors' disks, and come from one scan of the games each."""
+    """Views of one query, each planned once. Tables with a row for each team and season that several branches of a score read are written to the
+    shared folder: seasons and ratings come from one scan of the games each, and era statistics, ranks and profiles read rows, not their plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -61,11 +61,11 @@ class Tables:
 
     @cached_property
     def kept_seasons(self) -> DataFrame:
-        return self.coached.persist(StorageLevel.MEMORY_AND_DISK)
+        return staged(self.coached, "seasons")
 
     @cached_property
     def kept_ratings(self) -> DataFrame:
-        return self.ratings.persist(StorageLevel.MEMORY_AND_DISK)
+        return staged(self.ratings, "ratings")
 
     @cached_property
     def tenures(self) -> DataFrame:
@@ -88,7 +88,8 @@ class Tables:
         rated = self.kept_ratings.select(*key, "em", "sos", score.quality_record().alias("quality_record"))
         rows = self.led.join(rated, key, "left").join(score.draft_production(self.picks).select("team_id", "start_year", "draft_score"), ["team_id", "start_year"], "left")
         zero = lambda c: F.coalesce(c, F.lit(0.0))
-        return rows.withColumn("win_pct", zero("win_pct")).withColumn("draft_score", zero("draft_score")).withColumn("close_score", score.close_score()).withColumn("era", S.era(F.col("end_year")))
+        rows = rows.withColumns({"win_pct": zero("win_pct"), "draft_score": zero("draft_score"), "close_score": score.close_score(), "era": S.era(F.col("end_year"))})
+        return staged(rows, "score-rows")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -101,7 +102,7 @@ class Tables:
     @cached_property
     def ranked(self) -> DataFrame:
         """Scored seasons of enough games with their rank of all."""
-        return score.ranked(lookups.qualifying(self.scored), "score", ("season", "team_id"))
+        return staged(score.ranked(lookups.qualifying(self.scored), "score", ("season", "team_id")), "ranked")
 
     @cached_property
     def info(self) -> DataFrame:
@@ -150,7 +151,7 @@ class Tables:
     @cached_property
     def kept_factors(self) -> DataFrame:
         """One row for each matchup asked for."""
-        return matchup.factors(self.played).persist(StorageLevel.MEMORY_AND_DISK)
+        return staged(matchup.factors(self.played), "factors")
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
