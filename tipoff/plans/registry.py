@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tipoff.functions import names
 from tipoff.functions import seasons as S
 from tipoff.operators import coaches, ingest, lookups, matchup, ratings, score, score_earlier, sync
-from tipoff.plans import stores
+from tipoff.plans import analyses, stores
 from tipoff.plans.sql import _up, oracle
 from tipoff.sources import domain, files, render
 from tipoff.sources.staged import staged
@@ -343,6 +343,7 @@ walk AS (SELECT user_id, event_id, k, ts AS opened, 1 AS n FROM ordered WHERE k
 
 
 stores.register(add)
+analyses.register(add)
 
 
 def _run(build: Callable[[Tables], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
