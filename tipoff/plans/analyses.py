@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.operators import search, trends
+from tipoff.operators import search, tables, trends
 from tipoff.plans.sql import CTES
+from tipoff.sources import render
 
 
 def _stints(t) -> DataFrame:
@@ -59,6 +60,17 @@ def _addresses(t) -> DataFrame:
     return hits.select("key", "place", "url", F.when(F.col("html").contains("stats_table"), "weak").otherwise("names").alias("way"))
 
 
+def _located(t) -> DataFrame:
+    """Season rows found in whole pages: behind a table of links, a table inside a cell and a comment, by id or by the name of a cell."""
+    rows = render.season_rows(t.coached)
+    page = rows.groupBy("team_id").agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("rows")).join(t.teams.select("team_id", "slug"), "team_id")
+    own = F.when(F.col("team_id") % 2 == 0, F.concat(F.lit(' id="'), "slug", F.lit('"'))).otherwise("")
+    html = F.concat(F.lit('<html><!-- <table id="'), "slug", F.lit('"><tr><td data-stat="season">hidden</td></tr></table> --><table><tr><td>Links<table><tr><td data-stat="other">1</table></table><table'), own, F.lit('><thead><tr><th data-stat="season">Season</th></thead><tbody>'), "rows", F.lit('</tbody><tfoot><tr><td data-stat="season">Overall</td></tr></table>'))
+    found = tables.body_rows(tables.table_rows(page.select("team_id", html.alias("html"), "slug"), F.col("slug"), "season", key="team_id"), "team_id")
+    cells = tables.by_stat(F.col("cells"))
+    return found.select("team_id", cells["season"].alias("season"), cells["wins"].try_cast("long").alias("wins"), cells["losses"].try_cast("long").alias("losses"))
+
+
 CTES["pagekeys"] = """SELECT *, team_id || '-' || opp || '-' || game_date AS key FROM (SELECT team_id, opp, game_date, min(order_key) AS k FROM upsets GROUP BY ALL)
   JOIN (SELECT team_id, slug AS a_slug, lower(school) AS a_school FROM v_teams) USING (team_id) JOIN (SELECT team_id AS opp, slug AS b_slug, lower(school) AS b_school FROM v_teams) USING (opp)"""
 CTES["pagetable"] = """SELECT url, max(html) AS html FROM (SELECT game_date || '-' || CASE WHEN k % 3 <> 0 THEN a_slug ELSE b_slug END AS url, CASE WHEN k % 11 = 0 THEN 'nothing of use' WHEN k % 5 = 0 THEN '<table class="stats_table">' ELSE a_school || ' - ' || b_school END AS html FROM pagekeys WHERE k % 7 <> 0) GROUP BY url"""
@@ -93,3 +105,4 @@ def register(add) -> None:
     add("trajectories", lambda t: trends.trajectories(t.scored), "SELECT * FROM (SELECT span, 'riser' AS direction, row_number() OVER (PARTITION BY span ORDER BY slope DESC, team_id) AS place, team_id, slope, seasons FROM slopes UNION ALL SELECT span, 'faller', row_number() OVER (PARTITION BY span ORDER BY slope, team_id), team_id, slope, seasons FROM slopes) WHERE place <= 15", "slope")
     add("round_model", lambda t: trends.round_model(t.scored), "SELECT b0, b1, n, base, top FROM roundfit, (SELECT count(*) AS n, avg(y) AS base FROM roundx), (SELECT avg(y) AS top FROM roundx WHERE score >= (SELECT quantile_cont(score, 0.75) FROM roundx)) WHERE step = 8", "b0 b1 base top")
     add("weight_sensitivity", lambda t: trends.sensitivity(t.scored), "SELECT a.component, CAST(a.change AS DOUBLE) AS change, count(*) FILTER (a.value < b.value) AS moved, count(*) AS pairs FROM reweighed a JOIN reweighed b ON a.component = b.component AND a.change = b.change AND a.base > b.base GROUP BY ALL")
+    add("located_tables", _located, "SELECT team_id, CASE WHEN place % 29 = 0 THEN 'School' ELSE season END AS season, CASE WHEN place % 31 <> 0 THEN wins END AS wins, losses FROM coached")
