@@ -79,10 +79,11 @@ def near_copies(seed, groups, size, words):
     return out
 
 
-@pytest.mark.parametrize("block", [4, ngram_join.BLOCK_SETS])
-def test_near_the_threshold(spark, monkeypatch, block):
-    """Also with parts that take many blocks: the labels of the first deals must not lose a link."""
+@pytest.mark.parametrize(("block", "direct"), [(4, 1), (4, 8), (ngram_join.BLOCK_SETS, ngram_join.DIRECT)])
+def test_near_the_threshold(spark, monkeypatch, block, direct):
+    """Also with parts that take many blocks: pairs of blocks and labels of the first deals must not lose a link."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngram_join, "DIRECT", direct)
     texts = near_copies(1, 12, 25, 60) + near_copies(2, 30, 6, 12) + near_copies(3, 40, 3, 5)
     rows = list(enumerate(texts))
     random.Random(4).shuffle(rows)

@@ -8,9 +8,10 @@
    walks the trie once: the overlap up to a node holds for all sets under it, and a subtree is left where even all that remains of
    the probe or of the subtree's sets could not lift the overlap to the threshold, where sizes do not fit, and where all of it is in the
    probe's component already.
-4. A part too large for one task is dealt into blocks twice, by two hashes, and the links found there give labels. Only shingles whose
-   holders still have different labels count from then on; their holders are parted anew and compared, all pairs of blocks. So no pair of
-   different texts is left out, copies and groups of near copies are not expanded into pairs, and no task holds more than two blocks.
+4. A part too large for one task is dealt into blocks, and each pair of blocks is a task. One of over DIRECT blocks is dealt twice first, by
+   two hashes, and the links found inside blocks give labels. Only shingles whose holders still have different labels count from then on;
+   their holders are parted anew before pairs of blocks are compared. So no pair of different texts is left out, copies and groups of near
+   copies are not expanded into pairs, and no task holds more than two blocks. DIRECT changes which tasks find a link, never the links.
 
 Sets are told by 128 bits, shingles by 64. Null texts and texts without words have an empty set and link with nothing. Texts are taken whole.
 Each row comes back; rows of one id are one document in component_id, rows of a null id come back with the class of their text. An empty table
@@ -34,6 +35,8 @@ from tipoff.llm.near_dedup import _sets_of
 #: Share of all hashes that are counted, as a limit on 64 bits; twice what a prefix takes at 85 percent.
 ZONE = int(0.3 * 2**64)
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Parts of more blocks get labels before pairs of blocks are compared.
+DIRECT = 8
 
 
 def prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -81,8 +84,8 @@ class Trie:
         return upper
 
 
-def trie_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different labels, as many as join all components that such links make."""
+def trie_links(sets: list[np.ndarray], labels: list[int], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between sets of different labels (and of different sides, where given), as many as join all components that such links make."""
     every = np.concatenate(sets)
     values, place, count = np.unique(every, return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
@@ -92,6 +95,7 @@ def trie_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[
     order = sorted(range(len(sets)), key=lambda k: ranked[k].astype(">u4").tobytes())
     trie = Trie([ranked[k] for k in order])
     label = np.array([labels[k] for k in order])
+    side = np.arange(len(order)) if sides is None else np.array([sides[k] for k in order])
     here, out = np.zeros(len(values), np.int64), []
     for s in range(len(order) - 1):
         x = trie.sets[s]
@@ -101,7 +105,7 @@ def trie_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[
         while todo:
             node, overlap = todo.pop()
             low, high = trie.low[node], trie.high[node]
-            if high <= s + 1 or 100 * trie.most[node] < percent * n or percent * trie.least[node] > 100 * n or (label[low:high] == label[s]).all():
+            if high <= s + 1 or 100 * trie.most[node] < percent * n or percent * trie.least[node] > 100 * n or ((label[low:high] == label[s]) | (side[low:high] == side[s])).all():
                 continue
             depth = trie.end[node]
             run = trie.sets[trie.rep[node]][trie.start[node] : depth]
@@ -112,7 +116,7 @@ def trie_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[
             if 100 * hope < percent * (n + best - hope):
                 continue
             k = trie.term[node]
-            if k > s and label[k] != label[s] and 100 * overlap >= percent * (n + depth - overlap):
+            if k > s and label[k] != label[s] and side[k] != side[s] and 100 * overlap >= percent * (n + depth - overlap):
                 out.append((order[s], order[k]))
                 label[label == label[k]] = label[s]
             todo += [(c, overlap) for c in trie.children[node]]
@@ -150,14 +154,14 @@ def _profile(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return map_batches(texts, make, "id long, n_shingles long, set_a long, set_b long, zone long, least array<long>")
 
 
-def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """(id, n_shingles, zone, least) -> token, id, n: the shingles of each prefix that some other set holds too."""
+def _prefixes(reps: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(id, least), (id, n, zone) -> token, id, n: the shingles of each prefix that some other set holds too."""
     rows = reps.select(F.explode("least").alias("token"), "id")
     shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
     # beyond the zone (or below 0, as hashes are unsigned) the order is that of the hashes, and few are listed: all of them count
     beyond = (F.col("token") < 0) | (F.col("token") >= ZONE)
     own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(beyond.alias("beyond"), "df", "token"))).alias("shared"), F.count_if(~beyond).cast("int").alias("zoned"))
-    both = own.join(reps.select("id", F.col("n_shingles").alias("n"), "zone"), "id")
+    both = own.join(sizes, "id")
     # shingles of the zone that no other set holds come first and take their places
     room = F.expr(f"cast(greatest(least(n - (n * {percent} + 99) div 100 + 1 - (zone - zoned), zoned), 0) as int)")
     kept = F.concat(F.slice("shared", F.lit(1), room), F.slice("shared", F.col("zoned") + 1, F.size("shared")))
@@ -195,17 +199,17 @@ def _with_sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
-    """(part, i, j, id, label, shingles) -> links (a, b) inside each (part, i, j)."""
+    """(part, i, j, id, side, label, shingles) -> links (a, b) inside each (part, i, j), between its sides if it has several."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("part", "i", "j", "id", "label", "shingles").repartition(n, "part", "i", "j").sortWithinPartitions("part", "i", "j", "id")
+    rows = rows.select("part", "i", "j", "id", "side", "label", "shingles").repartition(n, "part", "i", "j").sortWithinPartitions("part", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, labels, sets = None, [], [], []
+        key, ids, sides, labels, sets = None, [], [], [], []
         done: list[tuple[int, int]] = []
 
         def solve():
             if len(ids) > 1 and min(labels) < max(labels):
-                done.extend((ids[a], ids[b]) for a, b in trie_links([np.frombuffer(s, np.uint64) for s in sets], labels, percent))
+                done.extend((ids[a], ids[b]) for a, b in trie_links([np.frombuffer(s, np.uint64) for s in sets], labels, percent, sides if min(sides) < max(sides) else None))
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array([a for a, _ in done], pa.int64()), pa.array([b for _, b in done], pa.int64())], ["a", "b"])
@@ -213,11 +217,12 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             return out
 
         for batch in batches:
-            for part, i, j, x, label, s in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for part, i, j, x, side, label, s in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if (part, i, j) != key:
                     solve()
-                    key, ids, labels, sets = (part, i, j), [], [], []
+                    key, ids, sides, labels, sets = (part, i, j), [], [], [], []
                 ids.append(x)
+                sides.append(side)
                 labels.append(label)
                 sets.append(s)
             if done:
@@ -229,30 +234,34 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Each row once for every block of its part: what a task for a pair of blocks reads."""
+    rows = rows.withColumn("side", F.expr("pmod(xxhash64(id, 3), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("part", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "side", "label", "shingles")
+
+
+def links(reps: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links between ids of `reps` that join all that are linked."""
-    held = written(_prefixes(reps, percent), "ngram-prefixes")
-    sizes = reps.select("id", F.col("n_shingles").alias("n"))
+    held = written(_prefixes(reps, sizes, percent), "ngram-prefixes")
+    sizes = sizes.select("id", "n")
     parts = _parts(_met(held, percent), sizes, "ngram-coarse")
     # a merge join whatever the size: the parts grow with the corpus and must not be broadcast
     sets = written(_with_sets(parts.hint("merge").join(texts, "id").select("id", "part", "blocks", "text"), width).distinct(), "ngram-sets")
-    deals = F.when(F.col("blocks") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    dealt = sets.withColumn("i", F.explode(deals)).withColumn("j", F.expr("pmod(xxhash64(id, i), blocks)")).withColumn("label", F.col("id"))
-    found = written(_joined(dealt, percent), "ngram-links")
-    large = parts.filter("blocks > 1").select("id")
-    if large.isEmpty():
+    large = F.col("blocks") > DIRECT
+    deals = sets.filter(large).withColumn("deal", F.explode(F.array(F.lit(1), F.lit(2)))).select("part", (-F.col("deal")).cast("long").alias("i"), F.expr("pmod(xxhash64(id, deal), blocks)").alias("j"), "id", F.lit(0).cast("long").alias("side"), F.col("id").alias("label"), "shingles")
+    found = written(_joined(_pairs(sets.filter(~large).withColumn("label", F.col("id"))).unionByName(deals), percent), "ngram-links")
+    many = parts.filter(large).select("id")
+    if many.isEmpty():
         return found
-    label = large.join(components(found, "ngram-labels"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    label = many.join(components(found, "ngram-labels"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     known = written(held.hint("merge").join(label, "id"), "ngram-known")
     open_tokens = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
     rest = written(known.hint("merge").join(open_tokens, "token", "left_semi"), "ngram-open")
     if rest.isEmpty():
         return found
     again = _parts(_met(rest, percent), sizes, "ngram-again")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    labelled = sets.select("id", "shingles").hint("merge").join(again.join(label, "id"), "id").withColumn("block", F.expr("pmod(xxhash64(id, 3), blocks)"))
-    pairs = labelled.select("*", other).select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", "shingles")
-    return found.unionByName(written(_joined(pairs, percent), "ngram-links"))
+    labelled = sets.select("id", "shingles").hint("merge").join(again.join(label, "id"), "id")
+    return found.unionByName(written(_joined(_pairs(labelled), percent), "ngram-links"))
 
 
 def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,14 +269,15 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own = written(_profile(texts, width, percent).withColumn("row", F.monotonically_increasing_id()), "ngram-profile")
     full = own.filter("n_shingles > 0")
-    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("least")
-    classes = written(full.groupBy("set_a", "set_b").agg(least).select("set_a", "set_b", F.col("least.id").alias("rep"), F.col("least.row").alias("row")), "ngram-classes")
-    reps = full.hint("merge").join(classes.filter("rep IS NOT NULL").select("row"), "row", "left_semi").select("id", "n_shingles", "zone", "least")
+    # rows of a class have one set; any of them stands for it under the least id
+    classes = written(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.min("zone").alias("zone")), "ngram-classes")
+    named_classes = classes.filter("rep IS NOT NULL").select(F.col("rep").alias("id"), "row", "n", "zone")
+    reps = full.select("row", "least").hint("merge").join(named_classes.select("id", "row"), "row").select("id", "least")
     # an id with several texts is one document: its classes are linked
     named = full.filter("id IS NOT NULL").select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"])
     shared = named.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most").select("id", "b")
     several = named.join(shared, "id").select(F.col("rep").alias("a"), "b").distinct()
-    found = links(reps, texts, width, percent).unionByName(several)
+    found = links(reps, named_classes.drop("row"), texts, width, percent).unionByName(several)
     final = components(found, "ngram-final").select(F.col("id").alias("rep"), "component")
     label = classes.join(final, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     linked = full.select("id", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b"]).select("id", "n_shingles", "component")
