@@ -149,7 +149,7 @@ def _listed(parts: Column) -> Column:
 
 
 def narrated(df: DataFrame) -> DataFrame:
-    """Adds story: who wins by what, in one of three tones."""
+    """Adds story: who wins by what, in one of three tones. The sentences are fixed values."""
     won, lost = F.col("winner"), F.when(F.col("winner") == "A", "B").otherwise("A")
     of = lambda c, w: F.when(w == "A", F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
 

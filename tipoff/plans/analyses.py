@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.operators import search, tables, trends
+from tipoff.functions import names
+from tipoff.operators import matchup, search, tables, trends
 from tipoff.plans.sql import CTES
 from tipoff.sources import render
 
@@ -94,7 +95,34 @@ CTES["firstgood"] = f"SELECT *, {_raw()} AS base FROM scored WHERE wins + losses
 CTES["reweighed"] = " UNION ALL ".join(f"SELECT '{k}' AS component, {c} AS change, base, {_raw(k, c)} AS value FROM firstgood" for k in _WEIGHTS for c in (0.05, -0.05))
 
 
+def _short(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, ' ({names.MASCOTS})$') THEN regexp_replace({x}, ' ({names.MASCOTS})$', '') ELSE split_part({x}, ' ', 1) END"
+
+
+def _strong(side: str) -> str:
+    return f"""[CASE x.name WHEN 'Coaching' THEN coalesce(CASE WHEN {side} = 'A' THEN coach_a ELSE coach_b END, 'coaching') || ' pedigree'
+  WHEN 'Offense' THEN 'elite offense' WHEN 'Defense' THEN 'suffocating defense' WHEN 'Pace' THEN 'pace advantage' WHEN 'Talent' THEN 'NBA-caliber talent' WHEN 'Clutch' THEN 'close-game toughness' END FOR x IN f IF x.side = {side} AND x.name <> 'HTSS']"""
+
+
+def _listed(x: str) -> str:
+    return f"CASE WHEN len({x}) = 0 THEN 'overall balance' WHEN len({x}) <= 2 THEN array_to_string({x}, ' and ') ELSE array_to_string({x}[1:len({x}) - 1], ', ') || ', and ' || {x}[len({x})] END"
+
+
+def _one(x: str, one: str, more: str) -> str:
+    return f"CASE WHEN len({x}) = 1 THEN '{one}' ELSE '{more}' END"
+
+
+CTES["faced"] = f"SELECT *, CASE WHEN winner = 'A' THEN 'B' ELSE 'A' END AS loser, spring_a || ' ' || {_short('name_a')} AS who_a, spring_b || ' ' || {_short('name_b')} AS who_b, CASE WHEN winner = 'A' THEN {_short('name_a')} ELSE {_short('name_b')} END AS ws FROM weighed"
+CTES["told"] = f"SELECT *, CASE WHEN winner = 'A' THEN who_a ELSE who_b END AS w, CASE WHEN loser = 'A' THEN who_a ELSE who_b END AS l, {_strong('winner')} AS wp, {_strong('loser')} AS lp FROM faced"
+CTES["spoken"] = f"SELECT *, {_listed('wp')} AS wl, {_listed('lp')} AS ll FROM told"
+_STORY = f"""SELECT matchup, CASE
+  WHEN lead >= 10 THEN w || '''s ' || wl || ' would overwhelm ' || l || ' in a convincing victory. ' || CASE WHEN len(lp) > 0 THEN l || '''s ' || ll || {_one('lp', " isn''t", " aren''t")} || ' enough to overcome the gap in overall quality.' ELSE 'The talent and efficiency gap is simply too wide to overcome.' END
+  WHEN lead >= 5 THEN w || '''s ' || wl || {_one('wp', ' gives', ' give')} || ' them the edge in a competitive but ultimately decisive game. ' || CASE WHEN len(lp) > 0 THEN l || '''s ' || ll || {_one('lp', ' keeps', ' keep')} || ' it interesting, but ' || ws || ' pulls away down the stretch.' ELSE l || ' battles hard but can''t match ' || ws || '''s firepower.' END
+  ELSE 'This one goes down to the wire — ' || w || ' barely edges ' || l || ' in an instant classic. ' || CASE WHEN len(lp) > 0 THEN l || '''s ' || ll || ' nearly ' || {_one('lp', 'steals', 'steal')} || ' the game, but ' || ws || '''s ' || wl || {_one('wp', ' proves', ' prove')} || ' decisive in the final minutes.' ELSE 'Both teams trade blows, but ' || ws || ' makes one more play when it matters most.' END END AS story FROM spoken"""
+
+
 def register(add) -> None:
+    add("matchup_story", lambda t: matchup.narrated(t.kept_factors).select("matchup", "story"), _STORY)
     add("season_stints", _stints, "SELECT team_id, start_year AS at, stint AS coach FROM stints")
     add("substring_lookups", _substrings, "SELECT DISTINCT term, t.team_id FROM (SELECT lower(right(school, 4) || ' ' || left(mascot, 3)) AS term FROM v_teams) a JOIN v_teams t ON contains(lower(t.name), term)")
     add("names_in_texts", _named, "SELECT DISTINCT term, t.team_id FROM (SELECT lower('The ' || a.name || ' met the ' || b.name || '.') AS term FROM v_teams a JOIN v_teams b ON b.team_id = a.team_id + 1) x JOIN v_teams t ON contains(term, lower(t.school))")
