@@ -229,3 +229,34 @@ def page_links(pages: DataFrame) -> DataFrame:
     """Title, number of links and first heading of raw pages, by patterns."""
     h = F.col("html")
     return pages.select("page_id", F.regexp_extract(h, r"(?is)<title[^>]*>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(h, F.lit(r'href="([^"]*)"'), 1)).alias("n_links"))
+
+
+def rosters(teams: DataFrame, ids: DataFrame) -> DataFrame:
+    """teams (team_id, name, conf) that the id map (team_id, source_slug) knows, numbered by name within their conference."""
+    place = F.row_number().over(Window.partitionBy("conf").orderBy("name", "team_id"))
+    return teams.join(ids, "team_id").select("conf", place.alias("place"), "team_id", "name", "source_slug")
+
+
+def ids_of_slugs(wanted: DataFrame, ids: DataFrame) -> DataFrame:
+    """wanted (slug) -> slug, team_id, by the id map; unknown slugs are skipped, a slug of several teams means the least id."""
+    return wanted.select("slug").distinct().join(ids.groupBy(F.col("source_slug").alias("slug")).agg(F.min("team_id").alias("team_id")), "slug")
+
+
+def source_slugs(teams: DataFrame, manual: DataFrame) -> DataFrame:
+    """teams (team_id, slug) -> source_slug: that of the manual map (team_id, mapped), else the team's own."""
+    return teams.join(manual.select("team_id", "mapped"), "team_id", "left").select("team_id", F.coalesce("mapped", "slug").alias("source_slug"))
+
+
+def first_seen(rows: DataFrame, key: str, value: str, order: tuple[Column, ...]) -> DataFrame:
+    """key, place, value: the distinct values of each key in the order in which they first come. Values are made distinct with their first
+    place before the places are numbered, so a key's repeats never meet."""
+    once = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)))).alias("first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("first", value))
+    return once.select(key, place.alias("place"), value)
+
+
+def reachable(teams: DataFrame, games: DataFrame) -> DataFrame:
+    """team_id, games, sample: whether a team's games can be read, and the first of them as json."""
+    row = F.struct("game_date", "order_key", "opp", "pts", "opp_pts")
+    found = games.groupBy("team_id").agg(F.count("*").alias("games"), F.min(row).alias("first"))
+    return teams.select("team_id").join(found, "team_id", "left").select("team_id", F.coalesce("games", F.lit(0)).alias("games"), F.to_json("first").alias("sample"))

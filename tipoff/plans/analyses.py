@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.functions import names
-from tipoff.operators import matchup, search, tables, trends
+from tipoff.operators import matchup, search, sync, tables, trends
 from tipoff.plans.sql import CTES
-from tipoff.sources import render
+from tipoff.sources import files, render
 
 
 def _stints(t) -> DataFrame:
@@ -72,6 +72,34 @@ def _located(t) -> DataFrame:
     return found.select("team_id", cells["season"].alias("season"), cells["wins"].try_cast("long").alias("wins"), cells["losses"].try_cast("long").alias("losses"))
 
 
+def _tags(t) -> DataFrame:
+    """Tags of compared neighbours, of champions (a third of their slugs unknown) and of upsets."""
+    teams = t.teams.select("team_id", "name", "slug")
+    other = teams.select((F.col("team_id") - 1).alias("team_id"), F.col("name").alias("name_b"))
+    pairs = teams.join(other, "team_id", "left").select(F.concat(F.lit("c"), F.col("team_id").cast("string")).alias("key"), F.col("name").alias("name_a"), "name_b")
+    won = t.seasons.filter("contains(tourney, 'Won NCAA Tournament National Final')").select("team_id", "end_year").join(teams, "team_id")
+    titles = won.select(F.concat_ws("-", F.lit("t"), "team_id", "end_year").alias("key"), F.col("end_year").alias("year"), "slug", F.when(F.col("end_year") % 3 != 0, F.col("name")).alias("name"))
+    loser = teams.select(F.col("team_id").alias("opp"), F.col("name").alias("loser"), F.col("slug").alias("loser_slug"))
+    games = t.upsets.filter("upset").join(teams, "team_id").join(loser, "opp")
+    path = F.concat(F.year("game_date").cast("string"), F.when(F.col("order_key") % 5 == 0, "-").otherwise("/"), F.col("slug"), F.lit("-vs-"), F.col("loser_slug"))
+    upsets = games.select(F.concat_ws("-", F.lit("g"), "order_key", "team_id", "opp", "pts", "opp_pts").alias("key"), path.alias("path"), F.when(F.col("order_key") % 2 == 0, F.col("name")).alias("winner"), "loser")
+    return files.comparison_tags(pairs, "Site").unionByName(files.champion_tags(titles, "Site")).unionByName(files.game_tags(upsets, "Site"))
+
+
+_TITLED = lambda x: f"array_to_string([upper(x[1]) || x[2:] FOR x IN string_split({x}, '-')], ' ')"
+_TAGS = f"""SELECT 'c' || a.team_id AS key, 'website' AS type, a.name || ' vs ' || b.name || ' — Site' AS title, 'Head-to-head comparison on Site' AS description FROM v_teams a JOIN v_teams b ON b.team_id = a.team_id + 1
+UNION ALL SELECT 't-' || team_id || '-' || end_year, 'article', who || ' — ' || end_year || ' National Champions | Site', 'Relive ' || who || chr(39) || 's ' || end_year || ' championship run. Full tournament path, box scores, highlights, and the story of how they cut down the nets.'
+  FROM (SELECT s.team_id, end_year, CASE WHEN end_year % 3 <> 0 THEN t.name ELSE {_TITLED('t.slug')} END AS who FROM v_seasons s JOIN v_teams t USING (team_id) WHERE contains(tourney, 'Won NCAA Tournament National Final'))
+UNION ALL SELECT 'g-' || order_key || '-' || team_id || '-' || opp || '-' || pts || '-' || opp_pts, 'article', won || ' Upsets ' || lost || ' — ' || y || ' NCAA Tournament | Site', 'Relive the Moment: ' || won || ' defeats ' || lost || ' in the ' || y || ' NCAA Tournament. Box score, highlights, and why this upset mattered.'
+  FROM (SELECT u.*, year(game_date) AS y, CASE WHEN order_key % 2 = 0 THEN a.name ELSE {_TITLED('a.slug')} END AS won, b.name AS lost FROM upsets u JOIN v_teams a USING (team_id) JOIN v_teams b ON b.team_id = u.opp WHERE upset AND order_key % 5 <> 0)"""
+_MAP = "SELECT team_id, CASE WHEN team_id % 4 = 0 THEN 'own-' || team_id ELSE slug END AS source_slug FROM v_teams"
+
+
+def _map(t) -> DataFrame:
+    manual = t.teams.filter("team_id % 4 = 0").select("team_id", F.concat(F.lit("own-"), F.col("team_id").cast("string")).alias("mapped"))
+    return sync.source_slugs(t.teams, manual)
+
+
 CTES["pagekeys"] = """SELECT *, team_id || '-' || opp || '-' || game_date AS key FROM (SELECT team_id, opp, game_date, min(order_key) AS k FROM upsets GROUP BY ALL)
   JOIN (SELECT team_id, slug AS a_slug, lower(school) AS a_school FROM v_teams) USING (team_id) JOIN (SELECT team_id AS opp, slug AS b_slug, lower(school) AS b_school FROM v_teams) USING (opp)"""
 CTES["pagetable"] = """SELECT url, max(html) AS html FROM (SELECT game_date || '-' || CASE WHEN k % 3 <> 0 THEN a_slug ELSE b_slug END AS url, CASE WHEN k % 11 = 0 THEN 'nothing of use' WHEN k % 5 = 0 THEN '<table class="stats_table">' ELSE a_school || ' - ' || b_school END AS html FROM pagekeys WHERE k % 7 <> 0) GROUP BY url"""
@@ -134,3 +162,10 @@ def register(add) -> None:
     add("round_model", lambda t: trends.round_model(t.scored), "SELECT b0, b1, n, base, top FROM roundfit, (SELECT count(*) AS n, avg(y) AS base FROM roundx), (SELECT avg(y) AS top FROM roundx WHERE score >= (SELECT quantile_cont(score, 0.75) FROM roundx)) WHERE step = 8", "b0 b1 base top")
     add("weight_sensitivity", lambda t: trends.sensitivity(t.scored), "SELECT a.component, CAST(a.change AS DOUBLE) AS change, count(*) FILTER (a.value < b.value) AS moved, count(*) AS pairs FROM reweighed a JOIN reweighed b ON a.component = b.component AND a.change = b.change AND a.base > b.base GROUP BY ALL")
     add("located_tables", _located, "SELECT team_id, CASE WHEN place % 29 = 0 THEN 'School' ELSE season END AS season, CASE WHEN place % 31 <> 0 THEN wins END AS wins, losses FROM coached")
+    add("page_tags", _tags, _TAGS)
+    add("source_slugs", _map, _MAP)
+    add("conference_rosters", lambda t: sync.rosters(t.teams, _map(t).filter("team_id % 5 <> 0")), f"SELECT conf, row_number() OVER (PARTITION BY conf ORDER BY name, team_id) AS place, team_id, name, source_slug FROM v_teams JOIN ({_MAP}) USING (team_id) WHERE team_id % 5 <> 0")
+    add("ids_of_slugs", lambda t: sync.ids_of_slugs(t.teams.select("slug").unionByName(_map(t).select(F.col("source_slug").alias("slug"))), _map(t)), f"SELECT source_slug AS slug, team_id FROM ({_MAP})")
+    add("coaches_in_order", lambda t: sync.first_seen(t.coached, "team_id", "coach", (-F.col("start_year"),)), "SELECT team_id, row_number() OVER (PARTITION BY team_id ORDER BY newest DESC, coach) AS place, coach FROM (SELECT team_id, coach, max(start_year) AS newest FROM coached WHERE coach IS NOT NULL GROUP BY ALL)")
+    add("reachable_teams", lambda t: sync.reachable(t.teams, t.games.filter("team_id % 6 <> 1")), """SELECT team_id, coalesce(n, 0) AS games, CASE WHEN n > 0 THEN '{"game_date":"' || g.game_date || '","order_key":' || g.order_key || ',"opp":' || g.opp || ',"pts":' || g.pts || ',"opp_pts":' || g.opp_pts || '}' END AS sample
+  FROM v_teams LEFT JOIN (SELECT team_id, count(*) AS n, first({'game_date': game_date, 'order_key': order_key, 'opp': opp, 'pts': pts, 'opp_pts': opp_pts} ORDER BY game_date, order_key, opp, pts, opp_pts) AS g FROM v_games WHERE team_id % 6 <> 1 GROUP BY team_id) USING (team_id)""")

@@ -310,11 +310,11 @@ add("page_links", lambda t: sync.page_links(t.read("pages")), "SELECT page_id, c
 add("parsed_schedules", lambda t: ingest.schedule(render.schedule_rows(t.games, t.teams), "2025-12-31").drop("opp"), "SELECT g.team_id, order_key, game_date, CASE WHEN order_key % 20 = 0 THEN t.school ELSE t.slug END AS opp_slug, loc, pts > opp_pts AS won, pts, opp_pts, CASE WHEN abs(pts - opp_pts) <= 1 THEN 'OT' END AS ot FROM v_games g JOIN v_teams t ON t.team_id = g.opp WHERE order_key % 41 <> 0 AND order_key % 43 <> 0 AND order_key % 31 <> 0 AND game_date <= DATE '2025-12-31' AND NOT (pts = 0 AND opp_pts = 0)")
 add("parsed_seasons", lambda t: ingest.season_table(render.season_rows(t.coached)), "SELECT team_id, season AS of_season, season, wins, losses, wins || '-' || losses AS record, floor(win_pct * 1000 + 0.5) / 1000 AS win_pct, conf, conf_wins || '-' || conf_losses AS conf_record, CASE WHEN place % 17 <> 0 THEN sign(srs) * floor(abs(srs) * 1000 + 0.5) / 1000 END AS srs, nullif(ap_pre, 13) AS ap_pre, nullif(ap_high, 13) AS ap_high, nullif(ap_final, 13) AS ap_final, tourney, seed, coach FROM coached WHERE place % 29 <> 0 AND place % 31 <> 0", "win_pct srs")
 add("parsed_school_pages", lambda t: ingest.school_page(render.school_pages(t.info)), "SELECT team_id, CASE team_id % 6 WHEN 5 THEN NULL WHEN 4 THEN all_wins + 1000 ELSE all_wins END AS wins, CASE team_id % 6 WHEN 5 THEN NULL WHEN 4 THEN all_losses + 1000 ELSE all_losses END AS losses, conf_titles + titles AS conf_titles, polled AS ap_weeks, greatest(final_fours, 1) AS all_americans, CAST((greatest(appearances, 1) + 2) // 3 AS BIGINT) AS first_round FROM info")
-_LINES = "SELECT l_orderkey AS game, CAST(l_suppkey AS BIGINT) AS team_id, l_linenumber AS n, l_partkey AS a, l_partkey // 7 AS b, l_orderkey + l_linenumber AS c FROM lineitem WHERE l_linenumber <= 6"
+_LINES = "SELECT l_orderkey AS game, CAST(l_suppkey AS BIGINT) AS team_id, l_linenumber AS n, l_partkey AS a, l_partkey // 7 AS b, l_orderkey + l_linenumber AS c FROM lineitem"
 
 
 def _box(t: Tables) -> DataFrame:
-    lines = t.read("lineitem").filter("l_linenumber <= 6").select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").cast("long").alias("team_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("a"), F.floor(F.col("l_partkey") / 7).alias("b"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("c"))
+    lines = t.read("lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").cast("long").alias("team_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("a"), F.floor(F.col("l_partkey") / 7).alias("b"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("c"))
     # a game's lines are dealt to two teams
     two = lines.withColumn("team_id", F.col("game") % 7 * 2 + F.col("n") % 2)
     return ingest.box_rows(ingest.box_tables(render.box_scores(two, t.teams)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -87,3 +87,33 @@ def meta_tags(info: DataFrame) -> DataFrame:
     titles = F.when(n > 0, F.concat(n.cast("string"), F.lit(" National Championship"), F.when(n > 1, "s").otherwise(""))).otherwise("No National Championships")
     text = F.concat(F.col("all_wins").cast("string"), F.lit("-"), F.col("all_losses").cast("string"), F.lit(" all-time | "), titles, F.lit(" | "), F.coalesce("conf", F.lit("")))
     return info.select("team_id", escaped(F.col("name")).alias("title"), escaped(text).alias("description"))
+
+
+def _name_of(slug: Column, name: Column) -> Column:
+    """A known team's name, else the slug as a title."""
+    from tipoff.functions.names import title_of_slug
+
+    return F.coalesce(name, title_of_slug(slug))
+
+
+def comparison_tags(pairs: DataFrame, site: str) -> DataFrame:
+    """pairs (key, name_a, name_b) -> key, type, title, description of a page that compares two teams; nothing where one is unknown."""
+    known = pairs.filter(F.col("name_a").isNotNull() & F.col("name_b").isNotNull())
+    return known.select("key", F.lit("website").alias("type"), F.concat("name_a", F.lit(" vs "), "name_b", F.lit(f" — {site}")).alias("title"), F.lit(f"Head-to-head comparison on {site}").alias("description"))
+
+
+def champion_tags(pages: DataFrame, site: str) -> DataFrame:
+    """pages (key, year, slug, name: null if unknown) -> the tags of a title's page."""
+    name, year = _name_of(F.col("slug"), F.col("name")), F.col("year").cast("string")
+    story = F.concat(F.lit("Relive "), name, F.lit("'s "), year, F.lit(" championship run. Full tournament path, box scores, highlights, and the story of how they cut down the nets."))
+    return pages.select("key", F.lit("article").alias("type"), F.concat(name, F.lit(" — "), year, F.lit(f" National Champions | {site}")).alias("title"), story.alias("description"))
+
+
+def game_tags(pages: DataFrame, site: str) -> DataFrame:
+    """pages (key, path: `year/winner-vs-loser`, winner, loser: names or null) -> the tags of a game's page; other paths have none."""
+    year, slugs = F.regexp_extract("path", "^([^/]*)/", 1), F.regexp_extract("path", "^[^/]*/(.*)$", 1)
+    at = F.locate("-vs-", slugs)
+    won, lost = _name_of(F.substring(slugs, F.lit(1), at - 1), F.col("winner")), _name_of(F.substring(slugs, at + 4, F.length(slugs)), F.col("loser"))
+    title = F.concat(won, F.lit(" Upsets "), lost, F.lit(" — "), year, F.lit(f" NCAA Tournament | {site}"))
+    story = F.concat(F.lit("Relive the Moment: "), won, F.lit(" defeats "), lost, F.lit(" in the "), year, F.lit(" NCAA Tournament. Box score, highlights, and why this upset mattered."))
+    return pages.filter(F.col("path").contains("/") & (at > 0)).select("key", F.lit("article").alias("type"), title.alias("title"), story.alias("description"))
