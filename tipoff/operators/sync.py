@@ -140,7 +140,7 @@ def least_loaded(rows: DataFrame, part: str) -> DataFrame:
 
 
 def halves(rows: DataFrame, key: str) -> DataFrame:
-    """Two parts of the keys at their middle, as numbers (approximate quantile, no sort of all rows)."""
+    """Two parts of the keys at their exact middle, as numbers: a value for each different key meets in the one row of the aggregate."""
     middle = rows.select(key).distinct().agg(F.percentile(key, 0.5).alias("_middle"))
     return rows.crossJoin(F.broadcast(middle)).withColumn("part", F.when(F.col(key) <= F.col("_middle"), 1).otherwise(2)).drop("_middle")  # one row
 
