@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -98,8 +98,8 @@ def season_ratings_by_tables(rated_games: DataFrame) -> DataFrame:
     """season_ratings() for seasons (or other groups) whose pairs do not fit into a task: the same columns, by joins and groupings.
 
     A step is a join of the pairs with the ratings of the step before, a sum by team, and means by season. Each step is a written table, which
-    cuts the lineage; the one before it is removed. Seasons whose ratings have settled leave it for a table of their own, so later steps carry
-    only what still moves. Choose season_ratings() where a season's pairs fit into a task: it takes one shuffle, this takes three a step.
+    cuts the lineage, in one job that also counts what still moves. Seasons whose ratings have settled stay behind in their step's table; later
+    steps carry only the others, and tables in which nothing settled are removed. Choose season_ratings() where a season's pairs fit into a task: it takes one shuffle, this takes three a step.
     """
     spark = rated_games.sparkSession
     sums = [F.sum(c).alias(c) for c in ("margin", "off", "def")]
@@ -115,7 +115,7 @@ def season_ratings_by_tables(rated_games: DataFrame) -> DataFrame:
     weight = F.when(F.col("games") < FEW_GAMES, F.col("games") / FEW_GAMES).otherwise(1.0).alias("w")
     leagues = ("league_em", "league_oe", "league_de")
     now = teams.select("season", "team_id", F.col("margin").alias("em"), (F.col("off") - F.col("league_oe")).alias("oe"), (F.col("def") - F.col("league_de")).alias("de"), weight, *leagues)
-    settled, path = shared_path(spark, "rating-settled"), None
+    paths = []  # of steps in which a season settled, and of the last
     for step in range(1, MOST_STEPS + 1):
         rated = now.select("season", F.col("team_id").alias("opp_id"), F.col("em").alias("x"), F.col("oe").alias("y"), F.col("de").alias("z"), *leagues)
         n = F.col("n")
@@ -127,18 +127,18 @@ def season_ratings_by_tables(rated_games: DataFrame) -> DataFrame:
         moved = now.join(total, ["season", "team_id"], "left").select("season", "team_id", F.col("em").alias("was"), damped(w * F.col("e") / met_ + (1 - w) * F.col("league_em"), "em"), damped(w * F.col("o") / met_, "oe"), damped(w * F.col("d") / met_, "de"), "w", *leagues)
         centre = moved.groupBy("season").agg(F.avg("em").alias("em0"), F.avg("oe").alias("oe0"), F.avg("de").alias("de0"), F.max(F.abs(F.col("em") - F.col("was"))).alias("moved"))
         new = moved.join(centre, "season").select("season", "team_id", *((F.col(c) - F.col(f"{c}0")).alias(c) for c in ("em", "oe", "de")), "w", *leagues, "moved")
-        old, path = path, shared_path(spark, "rating-step")
-        new.write.parquet(path)
-        new = spark.read.schema(new.schema).parquet(path)
-        if old is not None:
-            removed(spark, old)
-        ends = (F.col("moved") <= CLOSE_ENOUGH) | F.lit(step == MOST_STEPS)
-        new.filter(ends).withColumn("steps", F.lit(step)).write.mode("append").parquet(settled)
-        now = new.filter(~ends).drop("moved")
-        if now.isEmpty():
+        new = new.withColumn("steps", F.lit(step)).withColumn("settled", (F.col("moved") <= CLOSE_ENOUGH) | F.lit(step == MOST_STEPS)).drop("moved")
+        path, seen = shared_path(spark, "rating-step"), Observation()
+        new.observe(seen, F.count_if("settled").alias("settled"), F.count_if(~F.col("settled")).alias("moving")).write.parquet(path)
+        if paths and not paths[-1][1]:
+            removed(spark, paths.pop()[0])
+        paths.append((path, seen.get["settled"] > 0))
+        table = spark.read.schema(new.schema).parquet(path)
+        now = table.filter("NOT settled").drop("steps", "settled")
+        if not seen.get["moving"]:
             break
-    removed(spark, path)
-    done = spark.read.parquet(settled).join(teams.select("season", "team_id", "games", "wins"), ["season", "team_id"])
+    kept = spark.read.schema(new.schema).parquet(*(p for p, _ in paths)).filter("settled").drop("settled")
+    done = kept.join(teams.select("season", "team_id", "games", "wins"), ["season", "team_id"])
     em, oe, de = F.col("em") + F.col("league_em"), F.col("oe") + F.col("league_oe"), F.col("de") + F.col("league_de")
     rest = (em - (oe - de)) / 2
     ranked = lambda c: F.row_number().over(Window.partitionBy("season").orderBy(F.desc(F.round(c, 6)), "team_id"))
