@@ -28,7 +28,7 @@ def whole_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
 def keyed_json(spark: SparkSession, path: str, entry: str) -> DataFrame:
     """A json object of records by id -> id and the record's fields by the schema `entry`; what does not fit is null."""
     rows = keyed.entries(spark, [path]).filter(F.col("key") != "_metadata")
-    return rows.select(F.col("key").alias("id"), F.from_json("value", entry).alias("r")).select("id", "r.*")
+    return rows.select(F.col("key").alias("id"), F.from_json("value", f"struct<{entry}>").alias("r")).select("id", "r.*")
 
 
 def quads(spark: SparkSession, path: str) -> DataFrame:
