@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tipoff.llm import chunk_dedup
@@ -61,7 +62,10 @@ def brute(rows):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [0, chunk_dedup.MOST_SEVERAL])
+def test_against_brute_force(spark, monkeypatch, most):
+    """Also with more ids of several texts than are broadcast."""
+    monkeypatch.setattr(chunk_dedup, "MOST_SEVERAL", most)
     rng = random.Random(12)
     parts = [words(rng, rng.randint(10, 90)) for _ in range(30)] + ["日本語のテキスト" * 30, "ab" * 300]
     rows = [(rng.randrange(60), " ".join([words(rng, rng.randint(0, 30)), *rng.sample(parts, rng.randint(0, 3)), words(rng, rng.randint(0, 30))]), "x", 1) for _ in range(150)]
@@ -69,6 +73,8 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, t string, at int")
     out = chunk_dedup.deduplicated(df).select("row.doc_id", "text").collect()
     keyed = df.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()
-    want = brute([tuple(r) for r in keyed if r.doc_id is not None])
-    expected = [(r.doc_id, (r.text or "") if r.doc_id is None else want[r.doc_id, r.h]) for r in keyed]
+    several = {r.doc_id for r in keyed if len({x.h for x in keyed if x.doc_id == r.doc_id}) > 1}
+    t = lambda r: r.h if most == 0 or r.doc_id in several else 0
+    want = brute([(r.doc_id, t(r), r.text) for r in keyed if r.doc_id is not None])
+    expected = [(r.doc_id, (r.text or "") if r.doc_id is None else want[r.doc_id, t(r)]) for r in keyed]
     assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(expected, key=repr)

@@ -28,6 +28,8 @@ SYNC, WINDOW = 32, 80
 #: Equal bytes beside a chunk in common are fewer than SYNC + WINDOW.
 CONTEXT = 128
 LEAST_RUN = 120
+#: Ids with several texts that are broadcast at most, 16 bytes each.
+MOST_SEVERAL = 200_000
 
 _GEAR = (byte_values() >> np.uint64(32)).astype(np.uint32)
 
@@ -151,7 +153,7 @@ def _runs(later: DataFrame) -> DataFrame:
     def make():
         def step(batch):
             out = []
-            for i, t, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, t, found in (row for at in range(0, batch.num_rows, 200) for row in zip(*(batch.slice(at, 200).column(k).to_pylist() for k in range(3)), strict=True)):
                 runs: list[list] = []
                 for c in sorted(found, key=lambda c: (c["at"], c["n"])):
                     first, at, end = c["first"], c["at"], c["at"] + c["n"]
@@ -211,12 +213,21 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     return whole.groupBy("id", "t").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("runs"))
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """(id, row, text) with t: 0 for an id of one text, else a hash of the text. Few ids have several, so hashes are not dealt out with every
+    chunk; beyond MOST_SEVERAL such ids, which are not broadcast, every row has its hash, with the same result."""
+    t = F.xxhash64("text")
+    several = written(rows.groupBy("id").agg(F.min(t).alias("x"), F.max(t).alias("y")).filter("x < y").select("id", F.lit(True).alias("several")), "chunk-several")
+    if several.limit(MOST_SEVERAL + 1).count() > MOST_SEVERAL:
+        return rows.select("id", t.alias("t"), "row", "text")
+    return rows.join(F.broadcast(several), "id", "left").select("id", F.when(F.col("several"), t).otherwise(F.lit(0)).cast("long").alias("t"), "row", "text")
+
+
 def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: row (a struct of all its columns but the text, whatever their names), text (what stays), n_removed bytes, n_spans
     and n_bytes before. Rows of a null id keep their text."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    # t tells the texts of one id apart
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.struct(*others).alias("row"), F.col(text_col).alias("text"))
+    rows = _told_apart(docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*others).alias("row"), F.col(text_col).alias("text")))
     joined = rows.hint("merge").join(repeated_runs(rows), ["id", "t"], "left").select("row", "text", "runs")
 
     def make():
