@@ -6,23 +6,25 @@ together, as one automaton that is determinised on demand; a word is in it if a
 Each hit is looked at in a window of words: quotation marks, reporting words and words of address tell quoting from abuse. A logistic
 model of counts of hits by kind, fitted on the same rows with PRIOR as its prior, gives the score.
 
-At most POSITIVE toxic and NEGATIVE other labelled rows are learned from, those with the least xxhash64 of their id. Null and empty
+At most POSITIVE toxic and NEGATIVE other labelled ids are learned from, those with the least xxhash64; of an id's texts, the least. Their
+words are counted by Spark: the driver holds terms, and of each such row eight numbers and FEATURES. Null and empty
 texts have no hits and get the score of such texts. Without toxic rows the lexicon is empty. An id with several labels counts once, with the
-greatest; labels of null ids and null labels are left out. Texts are read whole, whatever their length; repeated rows are scored each, and
-learned from each where labelled. An empty table gives an empty result. Extra columns are ignored.
+greatest; labels of null ids and null labels are left out. Texts are read whole, whatever their length; repeated rows are scored each. An
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import bucket_of, map_batches
+from tipoff.llm.common import bucket_of, map_batches, written
 from tipoff.llm.near_dedup import _sets_of, band_keys, minima
 
 POSITIVE, NEGATIVE = 3000, 6000
@@ -158,19 +160,47 @@ def features(text: str | None, automaton: Automaton) -> list[float]:
     return [float(plain > 0), float(fuzzy > 0), float(quoted > 0), *np.log1p([plain, fuzzy, quoted, address, terms]).tolist(), (plain + 0.5 * fuzzy) / len(words)]
 
 
-def learned_terms(positive: list[tuple[set[str], int]], negative: list[set[str]]) -> dict[str, tuple[int, bool]]:
-    """positive: (words of a toxic document, its group of copies); negative: words of others."""
+Terms = dict[str, tuple[int, bool]]
+
+
+def _lexicon(words: set[str], stems: dict[str, int], forms: dict[str, set[str]]) -> Terms:
+    """Terms of the words and stems that stand in toxic documents above all; stems: how many groups hold each; forms: words of each stem."""
+    kept: list[str] = []
+    for s in sorted(stems, key=len):
+        longer = [t for t in stems if len(t) == len(s) + 1 and t.startswith(s)]
+        if len(forms[s]) >= 3 and not any(s.startswith(k) for k in kept) and not any(stems[t] >= 0.9 * stems[s] for t in longer):
+            kept.append(s)
+    # the forms of a stem stay beside it with their own edits; the stem has those of its shortest form
+    terms = {w: (edits_for(w), False) for w in words | {w for s in kept for w in forms[s]}}
+    for s in kept:
+        terms[s] = (edits_for(s if s in words else min(forms[s], key=len)), True)
+    return terms
+
+
+def _without_common(terms: Terms, near: Callable[[Terms], dict[str, int]], negatives: int) -> Terms:
+    """A term whose misspellings are words of other documents (near(terms): how many have them) is matched as it is written; another term
+    may then be the nearest to them."""
+    while True:
+        common = {t for t, n in near(terms).items() if n > FUZZY_SHARE * negatives}
+        if not common:
+            return terms
+        terms = terms | {t: (0, terms[t][1]) for t in common}
+
+
+def learned_terms(positive: list[tuple[set[str], int]], negative: list[set[str]]) -> Terms:
+    """The rule of counted_terms() over rows at hand: (words of a toxic document, its group of copies), words of others. Tests hold both
+    against each other."""
     groups = len({g for _, g in positive})
     need = max(MIN_DOCS, MIN_SHARE * groups)
 
-    def held(names) -> dict[str, set[int]]:
+    def held(names) -> dict[str, int]:
         by = defaultdict(set)
         for words, g in positive:
             for x in names(words):
                 by[x].add(g)
-        by = {x: gs for x, gs in by.items() if len(gs) >= need}
+        by = {x: len(gs) for x, gs in by.items() if len(gs) >= need}
         against = Counter(x for words in negative for x in names(words) if x in by)
-        return {x: gs for x, gs in by.items() if len(gs) / groups >= LIFT * (against[x] + 0.3) / max(1, len(negative))}
+        return {x: n for x, n in by.items() if n / groups >= LIFT * (against[x] + 0.3) / max(1, len(negative))}
 
     words = held(lambda ws: {w for w in ws if len(w) >= SHORTEST and not w.isdigit()})
     stems = held(lambda ws: {w[:n] for w in ws for n in STEMS if len(w) > n and w.isalpha()})
@@ -180,24 +210,49 @@ def learned_terms(positive: list[tuple[set[str], int]], negative: list[set[str]]
             for n in STEMS:
                 if len(w) > n and w[:n] in stems:
                     forms[w[:n]].add(w)
-    kept: list[str] = []
-    for s in sorted(stems, key=len):
-        longer = [t for t in stems if len(t) == len(s) + 1 and t.startswith(s)]
-        if len(forms[s]) >= 3 and not any(s.startswith(k) for k in kept) and not any(len(stems[t]) >= 0.9 * len(stems[s]) for t in longer):
-            kept.append(s)
-    # the forms of a stem stay beside it with their own edits; the stem has those of its shortest form
-    terms = {w: (edits_for(w), False) for w in words.keys() | {w for s in kept for w in forms[s]}}
-    for s in kept:
-        terms[s] = (edits_for(s if s in words else min(forms[s], key=len)), True)
-    # a term whose misspellings are words of other documents is matched as it is written; another term may then be the nearest to them
-    while True:
-        automaton, near = Automaton(terms), Counter()
+
+    def near(terms: Terms) -> Counter:
+        automaton, out = Automaton(terms), Counter()
         for ws in negative:
-            near.update({t for t, edits in automaton.hits(ws).values() if edits})
-        common = {t for t in near if near[t] > FUZZY_SHARE * len(negative)}
-        if not common:
-            return terms
-        terms |= {t: (0, terms[t][1]) for t in common}
+            out.update({t for t, edits in automaton.hits(ws).values() if edits})
+        return out
+
+    return _without_common(_lexicon(set(words), stems, forms), near, len(negative))
+
+
+def counted_terms(rows: DataFrame, groups: DataFrame, n_groups: int, negatives: int) -> Terms:
+    """rows: id, label, words (a document's different words); groups: id, owner (the group of copies of a toxic document). Words and stems are
+    counted by Spark, so only those over the thresholds, and the forms of such stems, reach the driver, however long the documents are."""
+    spark = rows.sparkSession
+    w = F.col("word")
+    owned = rows.join(F.broadcast(groups), "id", "left").select("label", F.coalesce(F.col("owner").cast("string"), F.col("id").cast("string")).alias("owner"), F.explode("words").alias("word"))
+    whole = F.when((F.length(w) >= SHORTEST) & ~w.rlike(r"^\p{Nd}+$"), F.struct(F.lit(False).alias("stem"), w.alias("name")))
+    begun = [F.when((F.length(w) > n) & w.rlike(r"^\p{L}+$"), F.struct(F.lit(True).alias("stem"), F.substring(w, 1, n).alias("name"))) for n in STEMS]
+    each = owned.select("label", "owner", F.explode(F.array_compact(F.array(whole, *begun))).alias("x")).select("label", "owner", "x.*").distinct()
+    held = each.groupBy("stem", "name").agg(F.sum("label").alias("held"), F.sum(1 - F.col("label")).alias("against"))
+    least = LIFT * (F.col("against") + 0.3) / max(1, negatives)
+    over = held.filter((F.col("held") >= max(MIN_DOCS, MIN_SHARE * n_groups)) & (F.col("held") / max(1, n_groups) >= least)).collect()
+    words, stems, forms = {r["name"] for r in over if not r["stem"]}, {r["name"]: r["held"] for r in over if r["stem"]}, defaultdict(set)
+    if stems:
+        asked = spark.createDataFrame([(s,) for s in sorted(stems)], "stem string")
+        begins = F.explode(F.array_compact(F.array(*(F.when(F.length(w) > n, F.substring(w, 1, n)) for n in STEMS)))).alias("stem")
+        found = rows.filter("label = 1").select(F.explode("words").alias("word")).distinct().select("word", begins)
+        for r in found.join(F.broadcast(asked), "stem").select("stem", "word").distinct().toLocalIterator():
+            forms[r["stem"]].add(r["word"])
+
+    def near(terms: Terms) -> dict[str, int]:
+        def make():
+            automaton = Automaton(terms)
+
+            def step(batch):
+                hits = [{t for t, edits in automaton.hits(set(ws)).values() if edits} for ws in batch.column(0).to_pylist()]
+                return pa.RecordBatch.from_arrays([pa.array([t for h in hits for t in h], pa.string())], ["term"])
+
+            return step
+
+        return {r["term"]: r["count"] for r in map_batches(rows.filter("label = 0").select("words"), make, "term string").groupBy("term").count().collect()}
+
+    return _without_common(_lexicon(words, stems, forms), near, negatives)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -236,24 +291,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     usable = labels.filter(F.col(label_col).isNotNull() & (bucket_of(F.col(id_col), folds) != held_out)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
     order = (F.xxhash64("id"), "id")
     sample = usable.filter("label = 1").orderBy(*order).limit(POSITIVE).unionByName(usable.filter("label = 0").orderBy(*order).limit(NEGATIVE))
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    # one text an id, so a repeated id adds no rows
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def make():
         def step(batch):
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             values, first = _sets_of(texts, 3)
             bands = [band_keys(minima(values[a:b], np.array([0]), 24), 8, 3)[0].tolist() if b > a else [] for a, b in zip(first[:-1], first[1:], strict=True)]
-            words = [" ".join(sorted(set(_WORD.findall((t or "").lower())))) for t in texts]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["label", "words", "bands"])
+            words = [sorted(set(_WORD.findall((t or "").lower()))) for t in texts]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(bands, pa.list_(pa.int64()))], ["id", "label", "text", "words", "bands"])
 
         return step
 
-    rows = map_batches(picked, make, "label int, words string, bands array<long>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["label"], r["words"]))
-    toxic = [r for r in rows if r["label"]]
-    groups = _copies([r["bands"] for r in toxic])
-    terms = learned_terms([(set(r["words"].split()), g) for r, g in zip(toxic, groups, strict=True)], [set(r["words"].split()) for r in rows if not r["label"]])
-    table = _featured(picked, terms).toArrow()
+    rows = written(map_batches(picked, make, f"id {kind}, label int, text string, words array<string>, bands array<long>"), "toxicity-sample")
+    toxic = rows.filter("label = 1").select("id", "bands").orderBy("id").collect()
+    owner = _copies([r["bands"] for r in toxic])
+    groups = rows.sparkSession.createDataFrame(list(zip((r["id"] for r in toxic), owner, strict=True)), f"id {kind}, owner long")
+    terms = counted_terms(rows.select("id", "label", "words"), groups, len(set(owner)), rows.filter("label = 0").count())
+    table = _featured(rows.select("label", "text"), terms).toArrow()
     x, y = np.array(table["x"].to_pylist()).reshape(-1, len(FEATURES)), np.array(table["label"].to_pylist(), float)
     order2 = np.lexsort((y, *x.T))
     return terms, fit_logistic(x[order2], y[order2])
