@@ -3,13 +3,13 @@
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)): pairwise interactions of all features in time
 linear in their number. Features are the distinct words of the whole text hashed to WORDS buckets, and one bin of each
 statistic (shares of capitals, digits, marks and bars, repeats of words and lines, lengths). It is trained by Adam on at most
-TRAIN_ROWS labelled rows, those with the least xxhash64 of their id, which is the only bound on what it learns from.
+TRAIN_ROWS labelled ids, those with the least xxhash64, which is the only bound on what it learns from; of an id's texts, the least.
 
 A row's features come as two bytes each, of which there are at most DIMS different ones, so the driver holds 400 MB at worst.
 
 Null and empty texts have no words and the statistics of an empty text; they get a score like any other. Without any labelled row
 of both kinds the score is 0.5 everywhere. An id with several labels counts once, with the greatest; labels of null ids or null labels are
-left out. Texts are scored whole, whatever their length. Repeated rows are scored each, and learned from each where labelled. An empty
+left out. Texts are scored whole, whatever their length. Repeated rows are scored each. An empty
 table gives an empty result. Extra columns are ignored; a row scores alike wherever it stands.
 """
 
@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: i
 
         return step
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
+    # one text an id, so a repeated id adds no rows
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    picked = texts.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
     table = map_batches(picked, make, "label int, idx binary").toArrow()
     examples = sorted(zip(table["idx"].to_pylist(), table["label"].to_pylist(), strict=True))
     return Machine.trained([np.frombuffer(i, np.uint16) for i, _ in examples], np.array([y for _, y in examples], np.float32))
