@@ -49,6 +49,23 @@ def test_the_rarest_run_is_looked_up(spark):
     assert [r.id for r in got] == [137] and index.candidates.count() <= 20
 
 
+def test_only_results_meet_in_texts(spark):
+    """Schools that share every run of three characters with hundreds of others: texts about them meet the schools that they hold."""
+    schools = [(k, f"school {k:06d}") for k in range(3000)]
+    terms = [(f"the {a} met the {b}.",) for (_, a), (_, b) in zip(schools, schools[7:], strict=False)]
+    index = search.GramIndex(spark.createDataFrame(schools, "id int, text string"))
+    got = index.held_by(spark.createDataFrame(terms, "term string")).count()
+    assert got == 2 * len(terms) == index.candidates.count()
+
+
+def test_only_results_meet_in_lookups(spark):
+    """Terms whose runs of three characters are all common, while the whole term stands in one text."""
+    texts = [(k, f"school {k:06d} owls") for k in range(3000)]
+    index = search.GramIndex(spark.createDataFrame(texts, "id int, text string"))
+    got = index.holding(spark.createDataFrame([(f"{k:06d} owl",) for k in range(3000)], "term string")).count()
+    assert got == 3000 == index.candidates.count()
+
+
 def test_first_hits(spark):
     rng = random.Random(3)
     keys = [(k, [f"d{j}" for j in range(rng.randint(0, 9))], [f"s{k}", f"t{k}"]) for k in range(40)]
