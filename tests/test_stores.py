@@ -1,5 +1,9 @@
 """Published snapshots, merges and syncs: audits, writers that die, conflicts, sweeping; ratings by tables against ratings by task."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +90,31 @@ def test_ratings_by_tables(spark):
     for k, a in one.items():
         for c in a.asDict():
             assert two[k][c] == pytest.approx(a[c], abs=1e-6), (k, c)
+
+
+@pytest.mark.parametrize("task_games", [0, 1500, 10**9])
+def test_ratings_of_large_and_small_seasons(spark, task_games, monkeypatch):
+    """All seasons by joins, the larger one, or none: the same ratings, and steps are written only for those that do not fit a task."""
+    games = domain.games(spark, "/root/testdata/sf0.001").filter("order_key % 7 = 1").withColumn("season", F.concat(F.lit("y"), (F.col("start_year") % 4 == 0).cast("string")))
+    rated = ratings.per_100(games)
+    counts = [r["count"] for r in rated.groupBy("season").count().collect()]
+    written = []
+    monkeypatch.setattr(ratings, "shared_path", lambda s, name, f=ratings.shared_path: (written.append(name), f(s, name))[1])
+    one, two = ({(r.season, r.team_id): r for r in df.collect()} for df in (ratings.season_ratings(rated), ratings.season_ratings_by_tables(rated, task_games=task_games)))
+    assert one.keys() == two.keys() and len(one) > 10
+    for k, a in one.items():
+        for c in a.asDict():
+            assert two[k][c] == pytest.approx(a[c], abs=1e-6), (k, c)
+    assert bool(written) == any(n > task_games for n in counts), counts
+
+
+def test_memory_of_a_large_season():
+    """A season of 600,000 pairs takes less than 150 bytes a pair, batches and results included."""
+    rng, pairs, teams = np.random.default_rng(1), 600_000, 20_000
+    columns = lambda n: {"season": pa.array(["1999-00"] * n), "team_id": pa.array(rng.integers(0, teams, n)), "opp_id": pa.array(rng.integers(0, teams, n), mask=rng.random(n) < 0.05), "home": pa.array(rng.random(n) < 0.5), **{c: pa.array(rng.normal(0, 30, n)) for c in ("margin", "off", "def")}, "n": pa.array(np.ones(n, np.int64)), "won": pa.array(rng.integers(0, 2, n))}
+    batches = (pa.RecordBatch.from_pydict(columns(10_000)) for _ in range(pairs // 10_000))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in ratings._solve("1999-00", ratings._runs(batches), None))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == teams and most < 150 * pairs, most / pairs
