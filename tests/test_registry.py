@@ -94,3 +94,9 @@ def test_files_in_and_out(spark, tmp_path):
     lines = [r.value for r in files.site_map_lines(files.site_map(teams, "https://example.org/"), "2024-01-02").collect()]
     assert len(lines) == 7 and lines[5].startswith("  <url>\n    <loc>https://example.org/?team=a</loc>")
     assert files.clipped_json(teams, 10).first().value == '{"name":"B'
+
+
+def test_patterns_of_box_scores_are_searched_once(spark):
+    """No filter repeats the search that it stands over."""
+    plan = registry.queries()["parsed_box_scores"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all") <= 8
