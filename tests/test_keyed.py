@@ -2,9 +2,13 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
+from tipoff.plans import stores
+from tipoff.plans.registry import Tables
 from tipoff.sources import files, keyed
 
 
@@ -63,3 +67,40 @@ def test_written_and_read(spark, tmp_path):
     assert files.keyed_json(spark, str(tmp_path / "out"), "n int, s string").count() == 200
     for part in (tmp_path / "out").glob("part-*"):
         json.loads(part.read_text())
+
+
+@pytest.mark.parametrize("metadata", [False, True])
+def test_objects_of_any_number(spark, tmp_path, metadata):
+    """More objects than entries: each is valid, also an empty one and the first entry of one without metadata."""
+    rows = [('a"\\\n', "1"), ("é", '"x"'), ("c", "[2]")]
+    df = spark.createDataFrame(rows, "key string, value string")
+    keyed.write_entries(df, str(tmp_path / "out"), files.with_metadata(df, "key") if metadata else None, parts=7)
+    read = [json.loads(part.read_text(encoding="utf-8")) for part in (tmp_path / "out").glob("part-*")]
+    assert len(read) == 7 and all(("_metadata" in x) == metadata for x in read)
+    assert {k: json.dumps(v) for x in read for k, v in x.items() if k != "_metadata"} == dict(rows)
+
+
+def test_stored_logs_grow_in_number(spark, tmp_path, monkeypatch):
+    """The objects, so the tasks that write them, grow with the order lines; what is read stays."""
+    t = lambda: Tables(spark, "/root/testdata/sf0.001")
+    few = stores._stored_logs(t()).drop("file")
+    monkeypatch.setattr(stores, "ORDER_LINES", 600)
+    path = tmp_path / "logs"
+    monkeypatch.setattr(stores, "shared_path", lambda *_: str(path))
+    many = stores._stored_logs(t()).drop("file")
+    assert len(list(path.glob("part-*"))) == t().read("lineitem").count() // 600 > 3
+    assert many.exceptAll(few).count() == few.exceptAll(many).count() == 0
+
+
+def test_pieces_are_read_as_runs(spark):
+    """A batch of pieces is one run of bytes for each split: an entry of 20,000 games costs no objects for its pieces."""
+    game = '{"date":"1999-01-01","opp":"12","w":true}'
+    text = '{"1":[' + ",".join([game] * 20_000) + '],"2":[]}'
+    pieces = [x + "}" for x in text.split("}")]
+    batch = pa.RecordBatch.from_pydict({"value": pieces, "file": ["f"] * len(pieces), "block": [0] * len(pieces), "in_text": [False] * len(pieces), "depth": [0] * len(pieces)})
+    tracemalloc.start()
+    rows = [r for b in keyed._runs(iter([batch])) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["key"], len(r["value"])) for r in rows if r["part"] == 1] == [("1", len(game) * 20_000 + 20_001), ("2", 2)]
+    assert most < 40 * len(text)
