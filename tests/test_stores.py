@@ -118,3 +118,37 @@ def test_memory_of_a_large_season():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == teams and most < 150 * pairs, most / pairs
+
+
+def _pairs(team, opp, rng):
+    n = len(team)
+    return pa.RecordBatch.from_pydict({"team_id": pa.array(team), "opp_id": pa.array(opp, pa.int64()), "home": pa.array(rng.random(n) < 0.5), **{c: pa.array(rng.normal(0, 30, n)) for c in ("margin", "off", "def")}, "n": pa.array(np.ones(n, np.int64)), "won": pa.array(rng.integers(0, 2, n))})
+
+
+def test_memory_of_a_larger_season():
+    """A season of 1,200,000 pairs takes less than 50 bytes a pair, with its last batches and results: no floating values of pairs are kept."""
+    rng, pairs, teams = np.random.default_rng(2), 1_200_000, 20_000
+    batches = (_pairs(rng.integers(0, teams, 10_000), rng.integers(0, teams, 10_000), rng) for _ in range(pairs // 10_000))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in ratings._solve("1999-00", ratings._runs(batches), 5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == teams and most < 50 * pairs, most / pairs
+
+
+def test_opponents_that_come_late_or_never(monkeypatch):
+    """Opponents that are teams in a later run, in none, or null: the same ratings whatever the runs."""
+    rng = np.random.default_rng(3)
+    team = np.sort(rng.integers(0, 40, 3000))
+    opp = [None if k % 11 == 0 else int(x) for k, x in enumerate(rng.integers(-5, 50, 3000))]
+    whole = _pairs(team, opp, rng)
+    solved = lambda: pa.Table.from_batches(ratings._solve("s", ratings._runs(whole.slice(k, 100) for k in range(0, 3000, 100)), 9)).to_pydict()
+    one = solved()
+    monkeypatch.setattr(ratings, "RUN", 300)
+    monkeypatch.setattr(ratings, "READ", 100)
+    two = solved()
+    assert one["team_id"] == list(range(40)) and sum(one["t1w"]) > 0
+    met = [k for k, o in enumerate(opp) if o is not None and 0 <= o < 40]
+    assert sum(sum(one[c]) for c in ratings.TIER_COUNTS) == len(met)
+    for c in one:
+        assert one[c] == (pytest.approx(two[c], abs=1e-9) if c in ("em", "oe", "de", "sos") else two[c]), c
