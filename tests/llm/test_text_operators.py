@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tipoff.llm import chunk_dedup, decontaminate, near_dedup, repeats, suffix_array
 
@@ -38,6 +39,35 @@ def test_repeats_against_brute_force(spark, group):
         assert bytes(got[i].kept) == bytes(kept) and got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("share", [1, 1000])
+def test_a_common_passage_and_a_text_of_many_copies_are_no_task_of_their_own(spark, share):
+    rng = random.Random(12)
+    passage = words(rng, 400)
+    texts = [f"{words(rng, 9)} {passage} {words(rng, 9)}" for _ in range(60)] + [passage[:900]] * 80 + [words(rng, 30) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = repeats.without_repeats(docs, share=share).select("doc_id", "n_removed", "n_spans", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[k : k + 400] for b in raw for k in range(len(b) - 399))
+    for r in got:
+        b = raw[r.doc_id]
+        cover = {j for k in range(len(b) - 399) if seen[b[k : k + 400]] > 1 for j in range(k, k + 400)}
+        assert r.n_removed == len(cover) and r.n_spans == sum(j - 1 not in cover for j in cover)
+    assert len(got) == len(texts)
+    if share > 1:
+        assert max(Counter(r.task for r in got if r.n_removed == 900).values()) < 60
+    # the rows of a large group meet it where they are
+    rows = spark.range(0, 1000, 1, 4).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("key"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"))
+    for how in ("inner", "left_semi"):
+        met = repeats.met(rows, groups.filter("key <> 10"), ["key"], "n", 1000, how, 100).select("id", F.spark_partition_id().alias("task")).collect()
+        assert sorted(r.id for r in met) == [i for i in range(1000) if i != 10]
+        assert max(Counter(r.task for r in met if r.id % 10).values()) < 300
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
